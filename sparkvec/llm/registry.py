@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import automaton, content_store, exact_dedup, packing
+from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, packing
 
 QUERIES = {
     "op1_token_store": content_store.op1_token_store,
     "op3_bpe_automaton": automaton.op3_bpe_automaton,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
