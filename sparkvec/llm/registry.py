@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, packing
+from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, packing, secret_scan
 
 QUERIES = {
     "op1_token_store": content_store.op1_token_store,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_packing": packing.op9_packing,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
 
