@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, packing, secret_scan
+from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, packing, quality_mil, secret_scan, toxicity
 
 QUERIES = {
     "op1_token_store": content_store.op1_token_store,
     "op3_bpe_automaton": automaton.op3_bpe_automaton,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality_mil": quality_mil.op5_quality_mil,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_packing": packing.op9_packing,
