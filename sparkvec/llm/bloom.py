@@ -42,3 +42,11 @@ def mark_repeated(rows: DataFrame, words: DataFrame, h: str, bits: int, out: str
         )
     hit = [F.expr(f"coalesce(shiftright(_m{k}, cast(_p{k} & 63 as int)) & 1, 0) = 1") for k in (0, 1)]
     return marked.withColumn(out, hit[0] & hit[1]).drop(*[f"_{x}{k}" for x in "pwm" for k in (0, 1)])
+
+
+def member_words(values: DataFrame, h: str, bits: int) -> DataFrame:
+    """The filter's positions that any row sets, as 64-bit words."""
+    return (
+        values.select(F.explode(F.array(*_positions(h, bits))).alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    )

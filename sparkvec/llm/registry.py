@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, packing, quality_mil, secret_scan, toxicity
+from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, near_dedup, packing, quality_mil, secret_scan, toxicity
 
 QUERIES = {
     "op1_token_store": content_store.op1_token_store,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_quality_mil": quality_mil.op5_quality_mil,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_minhash_dedup": near_dedup.op8_minhash_dedup,
     "op9_packing": packing.op9_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
