@@ -50,3 +50,13 @@ def member_words(values: DataFrame, h: str, bits: int) -> DataFrame:
         values.select(F.explode(F.array(*_positions(h, bits))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
     )
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, total: int) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (one column, distinct; null equals null). A filter of gone, of at most
+    MAX_BITS, lets rows that surely stay pass without a shuffle."""
+    gone = gone.toDF("_gone")
+    bits = filter_bits(total)
+    marked = mark_repeated(docs.withColumn("_id", F.col("doc_id")), member_words(gone, "_gone", bits), "_id", bits, "_maybe")
+    maybe = marked.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where("not _maybe").unionByName(maybe).select(*docs.columns)

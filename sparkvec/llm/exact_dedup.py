@@ -49,19 +49,20 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that nothing repeats don't move."""
-    digest = F.unhex(F.sha2(normalised(text_or_empty()), 256))
+    """The rows of docs that stay, with all their columns. A filter of the repeated digests lets rows that nothing repeats
+    pass without a shuffle; of rows that also share the id, one stays."""
     marks = group_exact(docs)
-    # A row to drop is told by its id; of rows with one id and one text, dropDuplicates leaves one.
-    dropped = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_same"))
-    own = docs.withColumn("_digest", digest).withColumn("_id", F.col("doc_id"))
-    gone = dropped.where(~F.col("_same")).drop("_same").dropDuplicates()
-    twice = dropped.where("_same").drop("_same").dropDuplicates()
-    left = own.join(gone, own["_id"].eqNullSafe(gone["_id"]) & (own["_digest"] == gone["_digest"]), "left_anti")
-    on = left["_id"].eqNullSafe(twice["_id"]) & (left["_digest"] == twice["_digest"])
-    once = left.join(twice, on, "left_anti")
-    again = left.join(twice, on, "left_semi").dropDuplicates(["_id", "_digest"])
-    return once.unionByName(again).select(*docs.columns)
+    groups = staged(marks.where("not kept").groupBy(F.unhex("text_sha256").alias("_digest")).agg(F.first("keep_id").alias("_keep"), F.first("group_size").alias("_size")), "groups")
+    n = groups.count()
+    bits = bloom.filter_bits(n)
+    own = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text_or_empty()), 256)))
+    marked = bloom.mark_repeated(own, bloom.member_words(groups, "_digest", bits), "_digest", bits, "_maybe")
+    # hot groups have as many rows as a share of all rows that are in groups
+    named = join_groups(marked.where("_maybe"), groups, "_digest", "_size", groups.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
+    stays = named.where(F.col("_size").isNull())
+    first = named.where(F.col("_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_digest"])
+    kept = [x.select(*docs.columns) for x in (marked.where("not _maybe"), stays, first)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

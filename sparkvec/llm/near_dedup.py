@@ -129,7 +129,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, uid, n_shingles, component_id, kept.
 
     Null and empty texts have empty sets and are linked with nothing. component_id is the least id of the component; kept
-    is true for the row with that id, and for one of them where rows share it. Null ids count as larger than others.
+    is true for each row with that id. Null ids count as larger than others, and rows that have no other id are kept.
     Other columns are ignored; an empty table gives no rows.
     """
     ship_code(docs.sparkSession)
@@ -191,10 +191,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each component, and all with empty sets. All columns are kept."""
-    marks = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_gone"]), "left_anti")
-    return left.select(*docs.columns)
+    """The rows of docs that stay: one of each component, and all with empty sets. All columns are kept. Rows that share
+    an id stay together if one of them stays."""
+    marks = staged(near_groups(docs).select("doc_id", "kept"), "marks")
+    gone = marks.groupBy("doc_id").agg(F.max("kept").alias("k")).where("not k").select("doc_id")
+    return bloom.without_ids(docs, gone, marks.count())
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

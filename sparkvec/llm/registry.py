@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, near_dedup, packing, quality_mil, secret_scan, toxicity
+from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, near_dedup, packing, quality_mil, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_token_store": content_store.op1_token_store,
+    "op2_warc": warc.op2_warc,
     "op3_bpe_automaton": automaton.op3_bpe_automaton,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_mil": quality_mil.op5_quality_mil,
@@ -19,7 +20,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
