@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import ship_code, small_batches, table, text_or_empty
-from sparkvec.llm.words import PieceCache, split_batch
+from sparkvec.llm.words import PieceCache, split_batch, strings
 
 _MACHINES: dict[str, WordAutomaton] = {}
 
@@ -167,7 +167,7 @@ def _digests(path: str):
             if not batch.num_rows:
                 continue
             index, bounds, distinct = split_batch(batch.column("text"))
-            found = own.pieces.get(distinct.to_pylist())
+            found = own.pieces.get(strings(distinct))
             counts = np.concatenate([[0], np.cumsum(np.array([x[0] for x in found], np.int64)[index])])[bounds]
             columns = [batch.column("doc_id"), pa.array(np.diff(counts)), *(pa.array(joined(index, bounds, [x[k] for x in found]), pa.string()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

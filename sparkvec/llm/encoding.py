@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sparkvec.llm.words import PieceCache, gather, split_batch
+from sparkvec.llm.words import PieceCache, gather, split_batch, strings
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 
@@ -24,6 +24,10 @@ _ENCODERS: dict[str, ByteEncoder] = {}
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Words that the library gets as one text.
+_TOGETHER = 512
+
+
 class ByteEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -31,37 +35,53 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaced, self.first = PieceCache(lambda x: self._make(x, " ")), PieceCache(lambda x: self._make(x, ""), 30_000)
-        self.cores = {" ": PieceCache(lambda x: self._encode([" " + p for p in x])), "": PieceCache(self._encode)}
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has a character for each byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token)
+        self.spaced, self.first, self.tails = PieceCache(self._spaced), PieceCache(self._single, 30_000), PieceCache(self._single, 30_000)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _single(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _make(self, pieces: list[str], before: str) -> list[bytes]:
-        """Ids of pieces after a space or none; words that differ in the punctuation at their ends share an entry."""
-        cores, tails = [], []
-        for p in pieces:
-            core = p.rstrip(_TAIL)
-            if core is not p and not (core and core[-1].isalnum()) or "<|" in p:
-                core = p
-            cores.append(core)
-            tails.append(p[len(core) :])
-        heads = self.cores[before].get(cores)
-        return [a + b for a, b in zip(heads, self.cores[""].get(tails), strict=True)]
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece after a space. Pieces without white space at their ends are joined, and the ids told apart by
+        their lengths in bytes."""
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
+        for i, ids in zip(odd := sorted(set(range(len(pieces))) - set(plain)), self._single([" " + pieces[i] for i in odd]), strict=True):
+            out[i] = ids
+        groups = [plain[at : at + _TOGETHER] for at in range(0, len(plain), _TOGETHER)]
+        joined = ["".join([" " + pieces[i] for i in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            reached, raw = np.cumsum(self.lengths[ids]), ids.tobytes()
+            ends = np.cumsum([1 + len(pieces[i].encode()) for i in g])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[cuts - 1], ends):
+                raise ValueError("a token reaches over a space")
+            at = 0
+            for i, end in zip(g, (4 * cuts).tolist(), strict=True):
+                out[i] = raw[at:end]
+                at = end
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined as unsigned 32-bit integers, where each text's ids begin with the end at last)."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         index, bounds, distinct = split_batch(texts)
-        pieces, heads = distinct.to_pylist(), bounds[:-1]
+        heads = bounds[:-1]
         bad = _cut_in_white(distinct, index, heads)
-        found = self.spaced.get(pieces) + self.first.get([pieces[i] for i in index[heads]])
-        index[heads] = len(pieces) + np.arange(len(heads))
+        core, tail, cores, tails = _tails_apart(distinct)
+        first = self.first.get(strings(distinct.take(pa.array(index[heads]))))
+        found = self.spaced.get(cores) + self.tails.get(tails) + first
+        parts = np.empty(2 * len(index), np.int64)
+        parts[::2], parts[1::2] = core[index], len(cores) + tail[index]
+        parts[2 * heads] = len(cores) + len(tails) + np.arange(len(heads))
+        parts[2 * heads + 1] = len(cores)  # the empty tail
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        values = np.frombuffer(b"".join(found), "<u4")
-        ids = gather(index, np.cumsum(sizes) - sizes, sizes, values)
-        offsets = np.concatenate([[0], np.cumsum(sizes[index])])[bounds]
+        ids = gather(parts, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(found), "<u4"))
+        offsets = np.concatenate([[0], np.cumsum(sizes[parts])])[2 * bounds]
         if len(bad):
             ids, offsets = self._whole(texts, ids, offsets, np.unique(np.searchsorted(bounds, bad, "right") - 1))
         return ids, offsets
@@ -73,6 +93,18 @@ class ByteEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def _tails_apart(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """(index of each piece's core, index of its tail, distinct cores, distinct tails of which the first is empty)."""
+    stripped = pc.ascii_rtrim(distinct, _TAIL)
+    apart = pc.and_not(pc.utf8_is_alnum(pc.utf8_slice_codeunits(stripped, -1, None)), pc.match_substring(distinct, "<|"))
+    cores = pc.if_else(apart, stripped, distinct)
+    coded = cores.dictionary_encode()
+    where = np.flatnonzero(np.asarray(pc.not_equal(pc.binary_length(cores), pc.binary_length(distinct))))
+    tails, tail = {"": 0}, np.zeros(len(distinct), np.int64)
+    tail[where] = [tails.setdefault(p[len(c) :], len(tails)) for p, c in zip(strings(distinct.take(pa.array(where))), strings(cores.take(pa.array(where))), strict=True)]
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), tail, strings(coded.dictionary), list(tails)
+
+
 def _cut_in_white(distinct: pa.Array, index: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Places in index of pieces that end in white space, or are empty, before a piece of the same text that begins so."""
     empty = pc.equal(pc.binary_length(distinct), 0)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.llm.common import ship_code, small_batches, table, text_or_empty
 from sparkvec.llm.labelled import held_out, sample
-from sparkvec.llm.words import PieceCache, split_batch
+from sparkvec.llm.words import PieceCache, split_batch, strings
 
 #: The letters that digits and marks may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -140,7 +140,7 @@ class Restorer:
     def text_features(self, texts: pa.Array) -> Iterator[tuple[int, tuple[int, ...]]]:
         """(text, features) of its pieces and spaced-out words; a text's features come in any order, more than once."""
         index, bounds, distinct = split_batch(texts)
-        found = self.cache.get(distinct.to_pylist())
+        found = self.cache.get(strings(distinct))
         keep = np.array([bool(x) for x in found])
         of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         pairs = np.unique(of[keep[index]] * len(found) + index[keep[index]])

@@ -9,6 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The strings of an array without nulls; much faster than to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def split_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(index of each piece, where each text's pieces begin with the end at last, distinct pieces). Pieces are what
     str.split(' ') gives: there is one at least for each text, and joined by spaces they are the text. Null is empty."""
