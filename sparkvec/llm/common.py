@@ -62,14 +62,14 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of at most about BATCH_BYTES of text (one row at least), without copying."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about that many bytes of text (one row at least), without copying."""
     for batch in batches:
         sizes = batch.column(text)
         ends = [len(x) if x else 0 for x in sizes.to_pylist()] if batch.num_rows < 2 else _lengths(sizes)
         start, held = 0, 0
         for i, n in enumerate(ends):
-            if held and held + n > BATCH_BYTES:
+            if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

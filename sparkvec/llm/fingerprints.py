@@ -21,7 +21,8 @@ _SALT = "second half"
 def canonical(text: Column) -> Column:
     """NFKC by the ICU library that Spark has on its class path, case folding, white-space folding. Never null."""
     normal = F.coalesce(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)), F.lit(""))
-    return F.trim(F.regexp_replace(F.lower(F.upper(normal)), r"[\s\p{Z}\x{85}]+", " "))
+    folded = F.replace(F.lower(F.upper(normal)), F.lit("ß"), F.lit("ss"))  # upper() leaves this letter as it is
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x{85}]+", " "))
 
 
 def wide_hash(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm import bloom
-from sparkvec.llm.common import join_groups, ship_code, small_batches, staged, table, text_or_empty
+from sparkvec.llm.common import BATCH_BYTES, join_groups, ship_code, small_batches, staged, table, text_or_empty
 from sparkvec.llm.components import components
 from sparkvec.llm.words import strings
 
@@ -91,7 +91,7 @@ def _spread(x: np.ndarray, factor: np.uint64) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=BATCH_BYTES // 2):
         if not batch.num_rows:
             continue
         sets = shingle_sets(batch.column("text"))
@@ -109,7 +109,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=BATCH_BYTES // 2):
         if batch.num_rows:
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "set"])

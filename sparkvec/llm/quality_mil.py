@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvec.llm.common import ship_code, small_batches, table, text_or_empty
+from sparkvec.llm.common import BATCH_BYTES, ship_code, small_batches, table, text_or_empty
 from sparkvec.llm.labelled import held_out, sample
 from sparkvec.llm.words import split_batch
 
@@ -138,7 +138,7 @@ class AttentionPool:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=BATCH_BYTES // 4):
         if batch.num_rows:
             x, ends = encode_passages(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "label", "bag"])
@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, model: AttentionPool | float, out: str = "sco
     packed = kept.select(text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES // 4):
             if batch.num_rows:
                 y = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(*encode_passages(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(y.astype(np.float64))], ["row", "score"])

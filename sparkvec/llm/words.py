@@ -34,7 +34,7 @@ def gather(index: np.ndarray, begins: np.ndarray, sizes: np.ndarray, values: np.
 class PieceCache:
     """What make() gives for pieces, kept for up to two generations of limit entries each."""
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 250_000):
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 150_000):
         self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
     def get(self, pieces: list[str]) -> list:

@@ -1,0 +1,248 @@
+import base64
+import hashlib
+import re
+import unicodedata
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, near_dedup, packing, quality_mil, registry, secret_scan, toxicity, warc
+from sparkvec.llm.crc import crc_shift
+from sparkvec.llm.encoding import encoder
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, uid long"
+LONG = " ".join(f"word{i % 977} lorem{i}" for i in range(6000))
+ODD = [(5, "Hello  world\n \n x", "en", 1), (1, None, None, 1), (2, "", "en", 1), (9, LONG, "en", 2), (9, LONG, "en", 2), (3, "a b c", "de", 3), (4, "a  b\tc", "de", 3), (None, "null id\tÉ İ ﬁ", None, None), (7, "<|endoftext|> don't STOP", "en", 7)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+def texts():
+    return [(i, t or "") for i, t, _, _ in ODD]
+
+
+def test_word_by_word_encoding_equals_the_library():
+    r = np.random.default_rng(1)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "1", "$", "\u00a0", "<|endoftext|>", "日", "\x1c", "don't", ".\n"]
+    made = ["".join(r.choice(parts, r.integers(0, 12))) for _ in range(3000)]
+    own = encoder(BYTES)
+    ids, at = own.encode(pa.array(made))
+    for t, a, b in zip(made, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_checksums_combine():
+    a, b = b"some bytes", b"and others" * 9
+    assert int(crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_store_gives_back_every_id_and_finds_damage(spark, docs, tmp_path):
+    own = Tokenizer.from_file(BYTES)
+    content_store.write_store(docs, BYTES, str(tmp_path / "s"), 2)
+    found = sorted((tuple(r) for r in content_store.read_back(spark, str(tmp_path / "s")).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    start = 0
+    for (i, t), r in zip(sorted(texts(), key=lambda x: (x[0] is not None, x[0] or 0)), found, strict=True):
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert r == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    again = {(r["doc_id"], len(r["ids"])) for r in content_store.read_ids(spark, str(tmp_path / "s")).collect()}
+    assert again == {(r[0], r[2]) for r in found}
+    chunks = spark.read.parquet(str(tmp_path / "s/chunks"))
+    chunks.selectExpr("address", "n_ids", "width", "concat(payload, X'0000') payload").write.mode("overwrite").parquet(str(tmp_path / "x"))
+    spark.read.parquet(str(tmp_path / "x")).write.mode("overwrite").parquet(str(tmp_path / "s/chunks"))
+    with pytest.raises(Exception, match="damaged"):
+        content_store.read_back(spark, str(tmp_path / "s")).collect()
+
+
+def test_equal_passages_give_equal_chunks():
+    r = np.random.default_rng(2)
+    shared = r.integers(0, 50000, 4000)
+
+    def cut(ids):
+        ends = content_store.cut_points(ids)
+        return {ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
+
+    one, two = cut(np.concatenate([r.integers(0, 50000, 999), shared])), cut(np.concatenate([r.integers(0, 50000, 333), shared]))
+    assert len(one & two) > 0.5 * len(cut(shared))
+
+
+def test_warc_round_trip(spark, monkeypatch, tmp_path):
+    big = "x" * 200_000
+    pages = spark.createDataFrame([(3, "u", big), (1, None, big), (2, "u\r\nv", ""), (4, "u", None), (5, "u", "é"), (5, "u", "é"), (None, "u", "n")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    found = sorted((tuple(r) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()), key=str)
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    expected = [(1, 200_000, digest(big), "response", None), (3, 200_000, digest(big), "revisit", 1), (2, 0, digest(""), "response", None), (4, 0, digest(""), "revisit", 2), (5, 2, digest("é"), "response", None), (5, 2, digest("é"), "revisit", 5), (None, 1, digest("n"), "response", None)]
+    assert found == sorted(expected, key=str)
+    assert max(len(r["data"]) for r in spark.read.parquet(str(tmp_path / "w")).collect()) < warc.CHUNK + 2000
+
+
+def test_automaton_equals_the_library(spark, docs):
+    own = Tokenizer.from_file(WORDS)
+    own.no_truncation()
+    own.no_padding()
+    r = np.random.default_rng(3)
+    parts = ["a", "B", "th", "in", " ", "\n", "é", "'s", "1", "$", "<|endoftext|>", "日", "İ", "Σ", "e\u0301", "aaa", "haha"]
+    for t in ("".join(r.choice(parts, r.integers(0, 14))) for _ in range(2000)):
+        assert automaton.machine(WORDS).encode(t) == own.encode(t, add_special_tokens=False).ids, t
+    found = sorted(tuple(x) for x in automaton.encode_digests(docs.where("doc_id is not null"), WORDS).collect())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    encoded = [(i, own.encode(t, add_special_tokens=False).ids) for i, t in texts() if i is not None]
+    assert found == sorted((i, len(e), sha(" ".join(map(str, e))), sha(own.decode(e, skip_special_tokens=False))) for i, e in encoded)
+
+
+def test_exact_groups_and_what_stays(spark, docs):
+    found = exact_dedup.group_exact(docs).collect()
+    groups = defaultdict(list)
+    for i, t in texts():
+        groups[re.sub("[\x20\x09-\x0d]+", " ", t)].append(i)
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    assert len(found) == len(ODD) and sum(r["kept"] for r in found) == len(groups)
+    for r in found:
+        ids = by_sha[r["text_sha256"]]
+        assert r["group_size"] == len(ids) and r["keep_id"] == min(ids, key=lambda x: (x is None, x))
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.count() == len(groups) and kept.columns == docs.columns
+    assert exact_dedup.group_exact(docs.limit(0)).count() == 0 and exact_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_fold_what_they_should(spark):
+    pairs = [("ﬁne  Straße\n", "fine STRASSE"), ("e\u0301", "é"), ("a", "b")]
+    rows = spark.createDataFrame([(k, t) for k, pair in enumerate(pairs) for t in pair], "doc_id long, text string")
+    seen = defaultdict(set)
+    for r in fingerprints.fingerprint(rows).collect():
+        seen[r["doc_id"]].add(r["fingerprint"])
+    assert [len(seen[k]) for k in range(3)] == [1, 1, 2]
+
+
+def test_edited_fingerprints_against_brute_force(spark, tmp_path):
+    made = [(i, "".join(np.random.default_rng(i).choice(list("abc é日 "), i * 7 % 40))) for i in range(1, 60)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in fingerprints.op7_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(made, reverse=True)
+    form = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).upper().lower()).strip()
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        edit = t[: len(t) - half] + after[:half]
+        r = found[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == (float(form(t) == form(edit)), float(form(t) == form(after)))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (form(t) == form(edit))
+
+
+def test_near_groups_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "few words"), (4, "FEW  words"), (5, "few others")]
+    for base in range(8):
+        words = [f"w{x}" for x in r.integers(0, 400, 80)]
+        for _ in range(6):
+            own = list(words)
+            for at in r.integers(0, 80, r.integers(0, 4)):
+                own[at] = f"v{r.integers(0, 999)}"
+            rows.append((100 + len(rows), " ".join(own)))
+    sets = {}
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    root[i] = min(root[i], root[j])
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in found} == {i: (len(s), root[i], root[i] == i) for i, s in sets.items()}
+
+
+def test_packing_covers_each_id_once(spark, docs):
+    own = Tokenizer.from_file(BYTES)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for p in packing.pack_documents(docs, BYTES, 0).collect():
+        pieces[p["uid"], p["doc_id"], p["doc_tokens"]].append((p["start"], p["length"], p["ids_crc32"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    for own_pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(own_pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    streams = sorted(((i is None, i or 0, [*own.encode(t, add_special_tokens=False).ids, 0]) for i, t in texts()), key=lambda x: x[:2])
+    for (_, i, n), (_, j, ids) in zip(sorted(pieces, key=lambda k: (k[1] is None, k[1] or 0)), streams, strict=True):
+        assert ((i or 0), n) == (j, len(ids))
+        at = 0
+        for start, length, crc in sorted(pieces[next(k for k in pieces if k[1] == i)]):
+            assert start == at and zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
+            at += length
+        assert at == n
+
+
+def test_best_fit_takes_the_tightest_window():
+    fit, rooms = packing.BestFit(64), {}
+    for n in sorted(np.random.default_rng(5).integers(1, 65, 400).tolist(), reverse=True):
+        fits = [r for r in rooms.values() if r >= n]
+        at, offset = fit.place(n)
+        assert rooms.get(at, 64) == (min(fits) if fits else 64) and offset == 64 - rooms.get(at, 64)
+        rooms[at] = rooms.get(at, 64) - n
+
+
+def test_secrets_are_told_from_other_strings(spark):
+    secret, other = "0641917ea4e9feb9cda83477b57ac2654884f485", "3f786850e387550fdab836ed7e6dc881de23001b"
+    rows = [(1, f'see token = "{secret}" here'), (2, f"see commit {other} here"), (3, None), (4, ""), (5, "write to a.b7@mail3.example.com now")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: [c["value"] for c in r["_found"] if c["secret"]] for r in secret_scan.with_findings(frame).collect()} == {1: [secret], 2: [], 3: [], 4: [], 5: []}
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(frame).collect()} == dict(rows) | {1: 'see token = "[SECRET]" here'}
+
+
+def test_disguised_words_are_restored():
+    counts = np.ones((28, 28, 28))
+    codes = toxicity.byte_codes()[np.frombuffer(b"  the idiot is a loser and stupid scum  " * 50, np.uint8)]
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    model = np.log(counts / counts.sum(2, keepdims=True))
+    for word, plain in (("1d10t", "idiot"), ("l o s e r", "loser"), ("s-c-u-m", "scum"), ("stuuupid", "stupid"), ("5tup1d", "stupid")):
+        assert toxicity.restore(word, model) == plain
+
+
+@pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.9), ("op5_quality_mil", "quality", 0.95)])
+def test_classifiers_on_the_held_out_fold(spark, name, label, least):
+    folder = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in registry.queries()[name](spark, folder).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
+    y, s = np.array([truth[r["doc_id"]] for r in rows]), np.array([r["score"] for r in rows])
+    wins = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
+    assert wins >= least
+
+
+def test_scores_of_odd_texts(spark, docs):
+    labels = spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = quality_mil.score_quality(docs, quality_mil.train(docs, labels))
+    assert scored.count() == len(ODD) and scored.columns == [*docs.columns, "score"]
+    x, ends = quality_mil.encode_passages(pa.array(["", LONG]))
+    model = quality_mil.AttentionPool(x.shape[1])
+    assert len(ends) == 3 and np.isfinite(model.score(x, ends)).all()
+
+
+def test_attention_gradient_is_right():
+    r = np.random.default_rng(6)
+    model, x = quality_mil.AttentionPool(5, 4, 3), r.standard_normal((7, 5))
+    starts, of, y, w = np.array([0, 3]), np.array([0, 0, 0, 1, 1, 1, 1]), np.array([1.0, 0.0]), np.ones(2)
+    loss = lambda: -np.mean(y * np.log(p := model._forward(x, starts, of)["y"]) + (1 - y) * np.log(1 - p))
+    grad = model._gradient(x, starts, of, y, w)
+    for k, g in grad.items():
+        at = tuple(0 for _ in g.shape)
+        old = model.p[k][at]
+        model.p[k][at] = old + 1e-6
+        up = loss()
+        model.p[k][at] = old - 1e-6
+        down = loss()
+        model.p[k][at] = old
+        assert abs((up - down) / 2e-6 - g[at]) < 1e-5
