@@ -45,7 +45,7 @@ class VectorStore:
             raise Corrupt(f"{path} has no manifest")
         try:
             state = json.loads(spark.read.text(f"{path}/{MANIFEST}", wholetext=True).first()[0])
-        except (ValueError, TypeError) as e:
+        except Exception as e:  # unreadable, or no JSON
             raise Corrupt(f"the manifest of {path} can't be read") from e
         if state.get("version") != VERSION or state["rows"] != sum(b["rows"] for b in state["batches"]):
             raise Corrupt(f"the manifest of {path} contradicts itself")
