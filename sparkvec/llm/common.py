@@ -63,18 +63,21 @@ def text_or_empty(column: str | Column = "text") -> Column:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about that many bytes of text (one row at least), without copying."""
+    """Parts of at most about that many bytes of text (one row at least). Parts are copies: some Arrow kernels, such as
+    ascii_lower, read slices wrongly."""
     for batch in batches:
         sizes = batch.column(text)
         ends = [len(x) if x else 0 for x in sizes.to_pylist()] if batch.num_rows < 2 else _lengths(sizes)
         start, held = 0, 0
         for i, n in enumerate(ends):
             if held and held + n > most:
-                yield batch.slice(start, i - start)
+                yield batch.take(pa.array(range(start, i)))
                 start, held = i, 0
             held += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        if start:
+            yield batch.take(pa.array(range(start, batch.num_rows)))
+        elif batch.num_rows:
+            yield batch
 
 
 def _lengths(column: pa.Array) -> list[int]:

@@ -246,3 +246,12 @@ def test_attention_gradient_is_right():
         down = loss()
         model.p[k][at] = old
         assert abs((up - down) / 2e-6 - g[at]) < 1e-5
+
+
+def test_parts_of_a_batch_are_read_as_the_whole():
+    from sparkvec.llm.common import small_batches
+
+    made = [f"Ünder {i} THE Wörds of text {i % 7} und so weiter {i}" for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({"text": made})
+    parts = [s for b in small_batches(iter([batch]), most=3000) for s in near_dedup.shingle_sets(b.column("text"))]
+    assert all(np.array_equal(a, near_dedup.shingle_sets(pa.array([t]))[0]) for a, t in zip(parts, made, strict=True))
