@@ -6,8 +6,10 @@ computed once; a table's key is a pair of one hash from either, so ITEMS * ITEMS
 pairs are formed, which changes no bucket with two members.
 
 Links are confirmed on the full sets. In each bucket all members are first held against its least member, so a large group
-of copies costs a link each; in buckets whose members are then still in different components, all pairs between components
-follow. No bucket is capped. A pair of similarity s shares no bucket with probability at most 2 * (1 - s ** DEPTH) ** ITEMS.
+of copies costs a link each. Where members are then still in different components, those outside the bucket's largest are
+held against HUBS members of that one, and at last, where components still differ, against all members of other components.
+No bucket is capped. This last join makes each pair in the first table that both share only: it compares 32 bits of the
+hashes before, so it misses a pair with a probability of about 1e-8. A pair of similarity s shares no bucket with probability at most 2 * (1 - s ** DEPTH) ** ITEMS.
 Pairs are first held against each other by four bits of each of the 2 * ITEMS * DEPTH minhashes: those of similarity 0.75
 agree in 92 of 120 on average, and in fewer than AGREE with a probability of about one in two million.
 """
@@ -30,6 +32,7 @@ from sparkvec.llm.components import components
 from sparkvec.llm.words import strings
 
 SHINGLE, PERCENT, ITEMS, DEPTH = 5, 75, 20, 3
+HUBS = 8
 #: Minhashes whose four bits must agree before full sets are compared, and the 64-bit words that hold those bits.
 AGREE, SIG_WORDS = 69, -(-2 * ITEMS * DEPTH // 16)
 
@@ -162,7 +165,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     left = items.join(shared, "h", "left_semi").groupBy("cid", "n").agg(F.collect_list(F.struct("at", "h")).alias("own"))  # 2 * ITEMS at most
     pairs = left.select("cid", "n", F.expr(f"filter(own, c -> c.at < {ITEMS})").alias("a"), F.expr(f"filter(own, c -> c.at >= {ITEMS})").alias("b"))
-    keys = pairs.select("cid", "n", F.explode("a").alias("a"), "b").select("cid", "n", "a", F.explode("b").alias("b")).select("cid", "n", F.xxhash64("a.h", "b.h").alias("k"))
+    keys = pairs.select("cid", "n", F.explode("a").alias("a"), "b").select("cid", "n", "a", F.explode("b").alias("b")).select("cid", "n", F.xxhash64("a.h", "b.h").alias("k"), F.expr(f"cast(a.at * {ITEMS} + b.at - {ITEMS} as short)").alias("t"))
     keys = staged(keys, "keys")
 
     sigs = reps.select(F.col("uid").alias("cid"), "sig")
@@ -171,16 +174,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tried = members.where(f"cid <> x and {_fits('nx', 'n')}").select("x", F.col("cid").alias("y")).distinct()
     links = staged(_confirm(staged(_likely(tried, sigs), "spokes"), signed, own, total), "links")
     roots = components(links)
-    rooted = members.select("k", "cid", "n").join(roots, members["cid"] == roots["v"], "left").select("k", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    mixed = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
-    rest = staged(rooted.join(mixed, "k").join(sigs, "cid"), "rest")
-    other = rest.select("k", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("sig").alias("sy"))
-    crossing = rest.select("k", F.col("cid").alias("x"), F.col("n").alias("nx"), "root", "sig").join(other, "k").where(f"x < y and root <> ry and {_fits('nx', 'ny')} and {_alike('sig', 'sy')}").select("x", "y").distinct()
-    more = staged(crossing, "crossing")
-    if more.take(1):
-        further = staged(_confirm(more, signed, own, total), "links")
-        if further.take(1):
-            roots = components(links.unionByName(further))
+    mixed = _mixed(members, roots)
+    if mixed.take(1):
+        spokes = _hub_pairs(mixed)
+        links = links.unionByName(staged(_confirm(staged(_likely(spokes, sigs), "spokes"), signed, own, total), "links"))
+        roots = components(links)
+        bands = reps.select(F.col("uid").alias("cid"), "sig", F.expr("transform(items, h -> cast(shiftright(h, 32) as int))").alias("items"))
+        more = staged(_crossing(_mixed(members, roots), bands), "crossing")
+        if more.take(1):
+            further = staged(_confirm(more, signed, own, total), "links")
+            if further.take(1):
+                roots = components(links.unionByName(further))
 
     named = classes.join(roots, classes["cid"] == roots["v"], "left").select("key", "size", "low", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("_of"))
@@ -190,6 +194,42 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with several components: k, t, cid, n, root, and dom, the component with most of the bucket's members."""
+    rooted = members.select("k", "t", "cid", "n").join(roots, members["cid"] == roots["v"], "left").select("k", "t", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    several = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
+    rest = staged(rooted.join(several, "k"), "rest")
+    largest = rest.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "root")).alias("m"))
+    return staged(rest.join(largest.select("k", F.col("m.root").alias("dom")), "k"), "mixed")
+
+
+def _hub_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (x, y) of up to HUBS members of each bucket's largest component, the same ones in many buckets, and each of the others."""
+    part = F.pmod(F.xxhash64("cid"), F.lit(HUBS))
+    least = [F.min(F.when(part == i, F.struct("cid", "n"))) for i in range(HUBS)]
+    hubs = mixed.where("root = dom").groupBy("k").agg(F.array(*least).alias("hubs")).select("k", F.explode("hubs").alias("hub")).where("hub is not null")
+    pairs = mixed.where("root <> dom").join(hubs.select("k", F.col("hub.cid").alias("x"), F.col("hub.n").alias("nx")), "k")
+    return pairs.where(_fits("nx", "n")).select("x", F.col("cid").alias("y")).distinct()
+
+
+def _crossing(mixed: DataFrame, bands: DataFrame) -> DataFrame:
+    """Pairs (x, y) of likely members of different components, once each: one side at least is outside the largest."""
+    full = staged(mixed.join(bands, "cid"), "banded")
+    x, y = (full.select("k", "t", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "root", "sig", "items")), F.col("dom").alias(f"dom_{side}")) for side in "xy")
+    pairs = x.where("root_x <> dom_x").join(y.drop("t"), "k")
+    pairs = pairs.where(f"root_x <> root_y and (root_y = dom_y or cid_x < cid_y) and {_fits('n_x', 'n_y')} and t = {_first_table('items_x', 'items_y')} and {_alike('sig_x', 'sig_y')}")
+    return pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"))
+
+
+def _first_table(a: str, b: str) -> str:
+    """The number of the first table in which two rows have the same key."""
+
+    def first(start: int) -> str:
+        return "case " + " ".join(f"when {a}[{start + i}] = {b}[{start + i}] then {i}" for i in range(ITEMS)) + " end"
+
+    return f"{ITEMS} * {first(0)} + {first(ITEMS)}"
+
+
 def _full_sets(own: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
     """(cid, set) of wanted (doc_id, cid, key), made again from the texts. A Bloom filter of the ids lets most other rows go."""
     bits = bloom.filter_bits(max(1, total // 4))
