@@ -33,6 +33,8 @@ from sparkvec.llm.words import strings
 
 SHINGLE, PERCENT, ITEMS, DEPTH = 5, 75, 20, 3
 HUBS = 8
+#: The low bits of a table's key that hold the table's number.
+TABLE_BITS = (1 << (ITEMS * ITEMS - 1).bit_length()) - 1
 #: Minhashes whose four bits must agree before full sets are compared, and the 64-bit words that hold those bits.
 AGREE, SIG_WORDS = 69, -(-2 * ITEMS * DEPTH // 16)
 
@@ -165,7 +167,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     left = items.join(shared, "h", "left_semi").groupBy("cid", "n").agg(F.collect_list(F.struct("at", "h")).alias("own"))  # 2 * ITEMS at most
     pairs = left.select("cid", "n", F.expr(f"filter(own, c -> c.at < {ITEMS})").alias("a"), F.expr(f"filter(own, c -> c.at >= {ITEMS})").alias("b"))
-    keys = pairs.select("cid", "n", F.explode("a").alias("a"), "b").select("cid", "n", "a", F.explode("b").alias("b")).select("cid", "n", F.xxhash64("a.h", "b.h").alias("k"), F.expr(f"cast(a.at * {ITEMS} + b.at - {ITEMS} as short)").alias("t"))
+    keys = pairs.select("cid", "n", F.explode("a").alias("a"), "b").select("cid", "n", "a", F.explode("b").alias("b")).select("cid", "n", F.expr(f"(xxhash64(a.h, b.h) & ~{TABLE_BITS}L) | (a.at * {ITEMS} + b.at - {ITEMS})").alias("k"))
     keys = staged(keys, "keys")
 
     sigs = reps.select(F.col("uid").alias("cid"), "sig")
@@ -195,8 +197,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets with several components: k, t, cid, n, root, and dom, the component with most of the bucket's members."""
-    rooted = members.select("k", "t", "cid", "n").join(roots, members["cid"] == roots["v"], "left").select("k", "t", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    """Members of buckets with several components: k, cid, n, root, and dom, the component with most of the bucket's members."""
+    rooted = members.select("k", "cid", "n").join(roots, members["cid"] == roots["v"], "left").select("k", "cid", "n", F.coalesce("root", "cid").alias("root"))
     several = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
     rest = staged(rooted.join(several, "k"), "rest")
     largest = rest.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "root")).alias("m"))
@@ -215,9 +217,9 @@ def _hub_pairs(mixed: DataFrame) -> DataFrame:
 def _crossing(mixed: DataFrame, bands: DataFrame) -> DataFrame:
     """Pairs (x, y) of likely members of different components, once each: one side at least is outside the largest."""
     full = staged(mixed.join(bands, "cid"), "banded")
-    x, y = (full.select("k", "t", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "root", "sig", "items")), F.col("dom").alias(f"dom_{side}")) for side in "xy")
-    pairs = x.where("root_x <> dom_x").join(y.drop("t"), "k")
-    pairs = pairs.where(f"root_x <> root_y and (root_y = dom_y or cid_x < cid_y) and {_fits('n_x', 'n_y')} and t = {_first_table('items_x', 'items_y')} and {_alike('sig_x', 'sig_y')}")
+    x, y = (full.select("k", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "root", "sig", "items")), F.col("dom").alias(f"dom_{side}")) for side in "xy")
+    pairs = x.where("root_x <> dom_x").join(y, "k")
+    pairs = pairs.where(f"root_x <> root_y and (root_y = dom_y or cid_x < cid_y) and {_fits('n_x', 'n_y')} and (k & {TABLE_BITS}) = {_first_table('items_x', 'items_y')} and {_alike('sig_x', 'sig_y')}")
     return pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"))
 
 
