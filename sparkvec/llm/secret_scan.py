@@ -1,8 +1,8 @@
 """Secret scanning with a random forest that removes false positives; DataFrame operations only.
 
-Words that hold a run of twelve or more key characters with a letter and a digit are candidates. A forest, trained by
-MLlib on labelled findings, judges each by its length, its character transitions, how much of it a dictionary covers, its
-path and its neighbouring words. The trees are written out as expressions, so that a document's candidates are found,
+Every run of twelve or more key characters with a letter and a digit is a candidate, wherever in a word it stands. A
+forest, trained by MLlib on labelled findings, judges each by its length, its character transitions, how much of it a
+dictionary covers, its path, what stands by it in its word and the words before. The trees are written out as expressions, so that a document's candidates are found,
 described and judged within its own row: the scan has no shuffle, however many candidates a document or source has.
 """
 
@@ -32,17 +32,46 @@ DICTIONARY = "the|and|ing|tion|index|example|mail|home|user|docs?|src|module|par
 FAMILIAR = "AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[bp]-|AIza|eyJ"
 FEATURES = ["length", "runs", "digits", "uppers", "vowels", "consonants", "distinct", "hex", "covered", "path", "dots", "dashes", "known", "beside", "other", "assigned"]
 
-_VALUE = r"([A-Za-z0-9+/_~.-]{12,}={0,2})[^A-Za-z0-9]*$"
+_KEY = "[A-Za-z0-9+/_~.-]"
+#: A word's pieces: runs of key characters, with the signs that pad one but assign nothing, and what lies between runs.
+_PIECE = rf"{_KEY}+(?:={{1,2}}+(?!{_KEY}*[A-Za-z0-9]))?|[^A-Za-z0-9+/_~.-]+"
+#: A candidate sees so many pieces of its word before it, and so many characters of these, of the next piece and of each
+#: of the two words before; so a long text without white space costs in proportion to its length.
+_PIECES, _SEEN = 3, 64
+_FIELDS = ("value", "lead", "after", "before", "first")
 _FORESTS: dict = {}
 
 
-def described(value: Column, word: Column, before: Column, first: Column) -> dict[str, Column]:
-    """The features of a candidate value in a word, the word before it and the one before that. All doubles."""
+def _likely(c: Column) -> Column:
+    return c.rlike(_KEY + "{12}") & c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+
+
+def candidates(word: Column, before: Column, first: Column) -> Column:
+    """An array, in order, of structs (value, lead, after, before, first) of the candidates in a word: what stands by each."""
+    seen = [F.right(c, F.lit(_SEEN)) for c in (before, first)]
+
+    def one(pieces: Column, at: Column) -> Column:
+        lead = F.array_join(F.slice(pieces, F.greatest(at - _PIECES, F.lit(0)) + 1, F.least(at, F.lit(_PIECES))), "")
+        after = F.coalesce(F.left(F.get(pieces, at + 1), F.lit(_SEEN)), F.lit(""))
+        return F.struct(F.get(pieces, at).alias("value"), F.right(lead, F.lit(_SEEN)).alias("lead"), after.alias("after"), seen[0].alias("before"), seen[1].alias("first"))
+
+    def of(pieces: Column) -> Column:
+        places = F.filter(F.transform(pieces, lambda p, k: F.when(_likely(p), k).otherwise(-1)), lambda k: k >= 0)
+        return F.transform(places, lambda k: one(pieces, k))
+
+    # An array of one, so that the pieces are made once and not for each candidate.
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(word, F.lit(_PIECE), F.lit(0))), of))
+
+
+def described(value: Column, lead: Column, after: Column, before: Column, first: Column) -> dict[str, Column]:
+    """The features of a candidate value, what leads to it and follows it in its word, the word before it and the one
+    before that. All doubles."""
     n = F.length(value).cast("double")
     share = lambda pattern: 1 - F.length(F.regexp_replace(value, pattern, "")) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9"), "[^aA9]", "-")
-    near = F.lower(F.concat_ws(" ", first, before, F.split_part(word, value, F.lit(1))))
+    near = F.lower(F.concat_ws(" ", first, before, lead))
     number = lambda c: c.cast("double")
+    login = lead.rlike("//[^/@]*:$") & after.startswith("@")  # the password's place in a URL
     return {
         "length": n,
         "runs": F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) / n,
@@ -57,14 +86,14 @@ def described(value: Column, word: Column, before: Column, first: Column) -> dic
         "dots": number(F.length(value) - F.length(F.replace(value, F.lit("."), F.lit("")))),
         "dashes": number(F.length(value) - F.length(F.regexp_replace(value, "[-_]", ""))),
         "known": number(value.rlike(f"^({FAMILIAR})")),
-        "beside": number(near.rlike(SECRET_WORDS)),
-        "other": number(near.rlike(OTHER_WORDS)) + number(word.rlike("@|://")),
-        "assigned": number(F.concat_ws(" ", before, word).rlike("[=:]")),
+        "beside": number(login | near.rlike(SECRET_WORDS)),
+        "other": number(near.rlike(OTHER_WORDS)) + number(~login & F.concat(lead, value, after).rlike("@|://")),
+        "assigned": number(F.concat_ws(" ", before, lead, value).rlike("[=:]")),
     }
 
 
 def labelled_findings(spark: SparkSession) -> DataFrame:
-    """value, word, before, first, label: LABELLED_ROWS findings of CASES in turn, with random parts by row number."""
+    """The fields of candidates() and label: LABELLED_ROWS findings of CASES in turn, with random parts by row number."""
 
     def filled(template: str) -> Column:
         parts, seed = [], 0
@@ -95,7 +124,7 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         word, before = F.when(kind == k, filled(c)).otherwise(word), F.when(kind == k, F.lit(b)).otherwise(before)
         first, label = F.when(kind == k, F.lit(a)).otherwise(first), F.when(kind == k, F.lit(y)).otherwise(label)
     rows = spark.range(0, LABELLED_ROWS, 1, 2).select("id", word.alias("word"), before.alias("before"), first.alias("first"), label.cast("double").alias("label"))
-    return rows.withColumn("value", F.regexp_extract("word", _VALUE, 1)).where("value <> ''")
+    return rows.select("label", F.inline(candidates(*map(F.col, ("word", "before", "first")))))
 
 
 def forest(spark: SparkSession, trees: int = 20, depth: int = 6, seed: int = 1) -> list:
@@ -106,7 +135,7 @@ def forest(spark: SparkSession, trees: int = 20, depth: int = 6, seed: int = 1)
     key = (spark.sparkContext.applicationId, trees, depth, seed)
     if key not in _FORESTS:
         found = labelled_findings(spark)
-        rows = found.select("label", *(c.alias(k) for k, c in described(*map(F.col, ("value", "word", "before", "first"))).items()))
+        rows = found.select("label", *(c.alias(k) for k, c in described(*map(F.col, _FIELDS)).items()))
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
 
         def taken(node):
@@ -135,12 +164,10 @@ def with_findings(docs: DataFrame, threshold: float = 0.5, out: str = "_found")
     trees = forest(docs.sparkSession)
     at = lambda words, i: F.when(i >= 0, F.get(words, i)).otherwise(F.lit(""))
     words, index = F.col("_words"), F.col("_at")
-    likely = lambda w: (F.length(w) >= 12) & w.rlike(_VALUE) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
     split = docs.withColumn("_words", F.split(text_or_empty(), r"\s+"))
-    found = split.withColumn("_at", F.filter(F.transform(words, lambda w, i: F.when(likely(w), i).otherwise(-1)), lambda i: i >= 0))
-    raw = found.withColumn("_raw", F.transform(index, lambda i: F.struct(F.regexp_extract(F.get(words, i), _VALUE, 1).alias("value"), F.get(words, i).alias("word"), at(words, i - 1).alias("before"), at(words, i - 2).alias("first"))))
-    raw = raw.withColumn("_raw", F.filter("_raw", lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))).drop("_words", "_at")
-    told = raw.withColumn("_told", F.transform("_raw", lambda c: F.struct(c["value"].alias("value"), *(x.alias(k) for k, x in described(c["value"], c["word"], c["before"], c["first"]).items()))))
+    found = split.withColumn("_at", F.filter(F.transform(words, lambda w, i: F.when(_likely(w), i).otherwise(-1)), lambda i: i >= 0))
+    raw = found.withColumn("_raw", F.flatten(F.transform(index, lambda i: candidates(F.get(words, i), at(words, i - 1), at(words, i - 2))))).drop("_words", "_at")
+    told = raw.withColumn("_told", F.transform("_raw", lambda c: F.struct(c["value"].alias("value"), *(x.alias(k) for k, x in described(*(c[k] for k in _FIELDS)).items()))))
     total = lambda c: sum((_judged(t, c) for t in trees[1:]), _judged(trees[0], c)) / len(trees)
     scored = told.drop("_raw").withColumn("_scored", F.transform("_told", lambda c: F.struct(c["value"].alias("value"), total(c).alias("score"))))
     return scored.drop("_told").withColumn(out, F.transform("_scored", lambda c: F.struct(c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= threshold).alias("secret")))).drop("_scored")
@@ -148,7 +175,9 @@ def with_findings(docs: DataFrame, threshold: float = 0.5, out: str = "_found")
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text replaced by mark; n_chars, where docs has it, follows. Null texts stay null."""
-    found = with_findings(docs).withColumn("_secrets", F.expr("transform(filter(_found, c -> c.secret), c -> c.value)"))
+    # Longest first: one that is part of another must not leave the rest of that one in the text.
+    longest = "array_sort(array_distinct(transform(filter(_found, c -> c.secret), c -> c.value)), (a, b) -> length(b) - length(a))"
+    found = with_findings(docs).withColumn("_secrets", F.expr(longest))
     changed = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     out = found.withColumn("text", F.when(F.size("_secrets") > 0, changed).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
