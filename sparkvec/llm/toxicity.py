@@ -3,7 +3,8 @@
 The character model holds trigram counts of the whole corpus over the letters a to z, a word boundary and one sign for
 all else. A disguised word is a lattice: a mark or digit may stand for letters that look like it or for nothing, a run of
 one letter for fewer of them, letters set apart by spaces or marks for a word. Viterbi decoding finds the letters that the
-model and the channel's costs make likeliest. Words without such signs have one path only, so they aren't decoded.
+model and the channel's costs make likeliest. Words of letters alone, none doubled, have one path only, so they aren't
+decoded. A word's letters as they are written count beside the restored ones.
 The score is a logistic regression over the restored words and their beginnings that labelled documents tell apart.
 """
 
@@ -32,8 +33,17 @@ BETWEEN, HIDING = "._-~*'`,:;/\\|+^=#", "*#"
 WRITTEN, LEFT_OUT, REPEATED, HIDDEN = 0.7, 0.7, 0.4, 3.0
 
 _EDGE, _OTHER, _SYMBOLS = 26, 27, 28
-_SIGNS = re.compile(r"(.)\1\1|[^\W\d_][\W\d_]+[^\W\d_]|^[0-9@$!|(€£][^\W\d_]|[^\W\d_][0-9@$!|][^\w]*$")
 _MARKS = "".join(sorted(set(BETWEEN) | {c for c in LOOKS_LIKE if not c.isalnum()} | set("\"%&)[]{}<>?¡¿«»")))
+#: Marks that stand for no letter, so that at a word's ends they say nothing; what no lattice has an arc for.
+_IDLE = "".join(c for c in _MARKS if c not in LOOKS_LIKE)
+_FOREIGN = re.compile(f"[^a-z{re.escape(''.join(sorted({*LOOKS_LIKE, *BETWEEN, *HIDING})))}]+")
+_DISGUISED = re.compile(f"[{re.escape(''.join(sorted({*LOOKS_LIKE, *BETWEEN, *HIDING})))}]|([a-z])\\1")
+_LOOKS = re.compile(f"[a-z{re.escape(''.join(LOOKS_LIKE))}]")
+_BETWEEN = re.compile(f"[{re.escape(BETWEEN)}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters of a lattice at most; longer words are cut, behind a mark that follows two letters or digits if there is one.
+LONGEST = 200
+_CUT = re.compile(f"[^\\W_]{{2}}[{re.escape(BETWEEN)}]+")
 #: A feature is kept if at least LEAST sampled documents of label 1 have it, four times the share of the others, and the
 #: likelihood-ratio statistic is at least GAIN; the FEATURES with most. RIDGE is the penalty on squared weights.
 LEAST, GAIN, FEATURES, RIDGE = 5, 24.0, 512, 0.1
@@ -75,12 +85,32 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def _plain(word: str) -> str:
+    if word.isascii():
+        return word.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
 
 
-def restore(word: str, model: np.ndarray) -> str:
+def _lattices(plain: str) -> Iterator[str]:
+    """The parts of a word in lower case that may stand for other letters."""
+    for run in _FOREIGN.split(plain):
+        while run:
+            part = run
+            if len(run) > LONGEST:
+                ends = [m.end() for m in _CUT.finditer(run, 0, LONGEST)]
+                part = run[: ends[-1] if ends else max(run.rfind(c, 1, LONGEST) for c in BETWEEN) + 1 or LONGEST]
+            run = run[len(part) :]
+            inner = _BETWEEN.split(part)
+            for x in (part, *inner) if len(inner) > 1 else (part,):  # a disguised word may stand between two marks
+                bare = x.strip(_IDLE)
+                if len(bare) > 1 and _DISGUISED.search(bare) and _LOOKS.search(bare):
+                    yield bare
+
+
+def restore(word: str, model: np.ndarray | list) -> str:
     """The likeliest letters behind a disguised word; a word with signs that stand for no letter is given back."""
-    text = _plain(word).strip(_MARKS.replace("@", "").replace("$", "").replace("!", ""))
+    text = _plain(word).strip(_IDLE)
+    marks = "".join(c for c in LOOKS_LIKE if not c.isalnum())
+    first, last = len(text) - len(text.lstrip(marks)), len(text.rstrip(marks))
     paths: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
     previous = ""
     for at, c in enumerate(text):
@@ -88,7 +118,7 @@ def restore(word: str, model: np.ndarray) -> str:
             arcs = [(c, 0.0)] + ([("", REPEATED)] if c == previous else [])
         else:
             arcs = [(x, WRITTEN) for x in LOOKS_LIKE.get(c, "")]
-            if c in BETWEEN or c.isspace() or c in "!$|" and at == len(text) - 1:
+            if c in BETWEEN or c.isspace() or c in marks and not first <= at < last:
                 arcs.append(("", 0.0 if c.isspace() else LEFT_OUT))
             if c in HIDING and 0 < at < len(text) - 1:
                 arcs += [(x, HIDDEN) for x in "aeiou"]
@@ -98,13 +128,13 @@ def restore(word: str, model: np.ndarray) -> str:
         for (a, b), (score, out) in paths.items():
             for x, cost in arcs:
                 k = ord(x) - 97 if x else None
-                state, value = ((b, k), score - cost + model[a, b, k]) if x else ((a, b), score - cost - 0.0)
+                state, value = ((b, k), score - cost + model[a][b][k]) if x else ((a, b), score - cost - 0.0)
                 if state not in step or value > step[state][0]:
                     step[state] = (value, out + x)
         paths = step
         previous = c if c.isalpha() else previous
     # Paths differ in length; each letter left out saved a factor, which the mean cost of a letter makes good.
-    best = max(((s + model[a, b, _EDGE]) + 2.3 * len(out), out) for (a, b), (s, out) in paths.items())
+    best = max(((s + model[a][b][_EDGE]) + 2.3 * len(out), out) for (a, b), (s, out) in paths.items())
     return best[1]
 
 
@@ -112,21 +142,15 @@ class Restorer:
     """What pieces of text give as features: the restored word and its beginnings of 4 to 6 letters, as 32-bit hashes."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.tolist()  # faster to read one by one
         self.cache = PieceCache(lambda ps: [self.features(p) for p in ps], 120_000)
 
     def words(self, piece: str) -> list[str]:
         out = []
         for part in piece.split():
-            bare = part.strip(_MARKS)
-            if not bare:
-                continue
-            if bare.isalpha() and not _SIGNS.search(part):
-                out.append(_plain(bare))
-            elif len(part) <= 200 and _SIGNS.search(part):
-                out += [restore(part, self.model), *(_plain(x) for x in re.split(r"[\W\d_]+", bare) if len(x) > 3)]
-            else:
-                out += [_plain(x) for x in re.split(r"[\W\d_]+", bare) if x]
+            plain = _plain(part)
+            out += [x for x in _NOT_LETTERS.split(plain) if x]
+            out += [restore(x, self.model) for x in _lattices(plain)]
         return out
 
     def features(self, piece: str) -> tuple[int, ...]:

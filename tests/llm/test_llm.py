@@ -226,6 +226,17 @@ def test_disguised_words_are_restored():
         assert toxicity.restore(word, model) == plain
 
 
+def test_every_word_with_signs_or_doubled_letters_is_decoded():
+    counts = np.ones((28, 28, 28))
+    codes = toxicity.byte_codes()[np.frombuffer(b"  the idiot is a loser and stupid scum asshole ass  " * 50, np.uint8)]
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    restorer = toxicity.Restorer(np.log(counts / counts.sum(2, keepdims=True)))
+    for word, plain in (("1053r", "loser"), ("5(um", "scum"), ("@55hole", "asshole"), ("455hole", "asshole"), ("a55", "ass"), ("@$$", "ass"), ("stuppid", "stupid"), ("looser", "loser"), ("|d|ot", "idiot"), ("(1d10t)", "idiot"), ("1d10t\u2026", "idiot")):
+        assert plain in restorer.words(word), word
+    assert restorer.words("the") == ["the"] and restorer.words("idiot,") == ["idiot"] and "stupid" in restorer.words("(stupid!")
+    assert "idiot" in restorer.words("ab.cd/" * 60 + "1d10t") and restorer.words("x" * 1001) and "scum" in restorer.words("5cum_" + "ab" * 150)
+
+
 @pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.9), ("op5_quality_mil", "quality", 0.95)])
 def test_classifiers_on_the_held_out_fold(spark, name, label, least):
     folder = "/root/testdata/sf0.1"
