@@ -107,7 +107,8 @@ class _Reader:
 
     def take(self, chunk_no: int, n_chunks: int, so_far: bytes, data: memoryview) -> tuple | None:
         if chunk_no == 0:
-            head, _, rest = bytes(data[:4096]).partition(b"\r\n\r\n")
+            raw = bytes(data)  # the first row holds the whole header, however long
+            head = raw[: raw.index(b"\r\n\r\n")]
             self.head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
             data = data[len(head) + 4 + len(_HTTP) :]
             self.sha, self.n, self.next, self.left = hashlib.sha1(), 0, 0, int(self.head["Content-Length"]) - len(_HTTP)

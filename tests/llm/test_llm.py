@@ -86,6 +86,16 @@ def test_warc_round_trip(spark, monkeypatch, tmp_path):
     assert max(len(r["data"]) for r in spark.read.parquet(str(tmp_path / "w")).collect()) < warc.CHUNK + 2000
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    urls = {1: "https://x.io/" + "é日" * 5000, 2: "u" * 3600, 3: "a" + "é" * 100_000}
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in urls.items()] + [(4, urls[1], "page 1")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    found = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert found == [(1, 6, "response", None), (2, 6, "response", None), (3, 6, "response", None), (4, 6, "revisit", 1)]
+    data = {r["page_id"]: r["data"].decode() for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    assert all(f"WARC-Target-URI: {u}\r\n" in data[k] for k, u in urls.items())
+
+
 def test_automaton_equals_the_library(spark, docs):
     own = Tokenizer.from_file(WORDS)
     own.no_truncation()
