@@ -2,7 +2,7 @@
 
 The character model holds trigram counts of the whole corpus over the letters a to z, a word boundary and one sign for
 all else. A disguised word is a lattice: a mark or digit may stand for letters that look like it or for nothing, a run of
-one letter for fewer of them, letters set apart by spaces or marks for a word. Viterbi decoding finds the letters that the
+one letter for fewer of them, a space or mark between letters for nothing or for the end of a word. Viterbi decoding finds the letters that the
 model and the channel's costs make likeliest. Words of letters alone, none doubled, have one path only, so they aren't
 decoded. A word's letters as they are written count beside the restored ones.
 The score is a logistic regression over the restored words and their beginnings that labelled documents tell apart.
@@ -31,6 +31,8 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 BETWEEN, HIDING = "._-~*'`,:;/\\|+^=#", "*#"
 #: Costs in nats of a letter that is written otherwise, a mark left out, a letter of a run left out, a hidden letter.
 WRITTEN, LEFT_OUT, REPEATED, HIDDEN = 0.7, 0.7, 0.4, 3.0
+#: Paths differ in length: what each symbol of one makes good, the mean cost of a letter.
+EACH = 2.3
 
 _EDGE, _OTHER, _SYMBOLS = 26, 27, 28
 _MARKS = "".join(sorted(set(BETWEEN) | {c for c in LOOKS_LIKE if not c.isalnum()} | set("\"%&)[]{}<>?¡¿«»")))
@@ -41,6 +43,11 @@ _DISGUISED = re.compile(f"[{re.escape(''.join(sorted({*LOOKS_LIKE, *BETWEEN, *HI
 _LOOKS = re.compile(f"[a-z{re.escape(''.join(LOOKS_LIKE))}]")
 _BETWEEN = re.compile(f"[{re.escape(BETWEEN)}]+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = re.compile("[a-z]+")
+_SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]+"
+#: Characters of a piece with signs that may be part of a word set apart by spaces; pieces of a lattice at most, and how
+#: many of them the next one has too.
+SHORT, WINDOW, OVERLAP = 6, 100, 20
 #: Characters of a lattice at most; longer words are cut, behind a mark that follows two letters or digits if there is one.
 LONGEST = 200
 _CUT = re.compile(f"[^\\W_]{{2}}[{re.escape(BETWEEN)}]+")
@@ -107,7 +114,8 @@ def _lattices(plain: str) -> Iterator[str]:
 
 
 def restore(word: str, model: np.ndarray | list) -> str:
-    """The likeliest letters behind a disguised word; a word with signs that stand for no letter is given back."""
+    """The likeliest letters behind disguised words, with spaces between words; a text with signs that stand for no letter
+    is given back."""
     text = _plain(word).strip(_IDLE)
     marks = "".join(c for c in LOOKS_LIKE if not c.isalnum())
     first, last = len(text) - len(text.lstrip(marks)), len(text.rstrip(marks))
@@ -120,6 +128,8 @@ def restore(word: str, model: np.ndarray | list) -> str:
             arcs = [(x, WRITTEN) for x in LOOKS_LIKE.get(c, "")]
             if c in BETWEEN or c.isspace() or c in marks and not first <= at < last:
                 arcs.append(("", 0.0 if c.isspace() else LEFT_OUT))
+            if c in BETWEEN or c.isspace():
+                arcs.append((" ", 0.0 if c.isspace() else LEFT_OUT))
             if c in HIDING and 0 < at < len(text) - 1:
                 arcs += [(x, HIDDEN) for x in "aeiou"]
             if not arcs:
@@ -127,15 +137,25 @@ def restore(word: str, model: np.ndarray | list) -> str:
         step: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, out) in paths.items():
             for x, cost in arcs:
-                k = ord(x) - 97 if x else None
-                state, value = ((b, k), score - cost + model[a][b][k]) if x else ((a, b), score - cost - 0.0)
+                if x == " " and b == _EDGE:
+                    continue
+                k = (_EDGE if x == " " else ord(x) - 97) if x else None
+                state, value = ((b, k), score - cost + model[a][b][k] + EACH) if x else ((a, b), score - cost)
                 if state not in step or value > step[state][0]:
                     step[state] = (value, out + x)
         paths = step
         previous = c if c.isalpha() else previous
-    # Paths differ in length; each letter left out saved a factor, which the mean cost of a letter makes good.
-    best = max(((s + model[a][b][_EDGE]) + 2.3 * len(out), out) for (a, b), (s, out) in paths.items())
-    return best[1]
+    best = max((s + model[a][b][_EDGE], out) for (a, b), (s, out) in paths.items())
+    return best[1].strip()
+
+
+def joined(model: np.ndarray) -> np.ndarray:
+    """Whether two words are likelier as one, by the last two letters of the first and the first two of the second: as
+    both letters are known, this is what Viterbi decoding finds for the space between them."""
+    m, e = model[:26, :26], _EDGE
+    one = m[:, :, :26, None] + m[None, :, :, :26]
+    two = m[:, :, e][:, :, None, None] + model[:26, e, :26][None, :, :, None] + model[e, :26, :26][None, None] + EACH
+    return (one > two).reshape(676, 676)
 
 
 class Restorer:
@@ -143,47 +163,104 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()  # faster to read one by one
+        self.joined = joined(model)
         self.cache = PieceCache(lambda ps: [self.features(p) for p in ps], 120_000)
+        self.shapes = PieceCache(lambda ps: [self.shape(p) for p in ps], 120_000)
+        self.lattices = PieceCache(lambda ps: [restore(p, self.model).split() for p in ps], 60_000)
 
     def words(self, piece: str) -> list[str]:
         out = []
         for part in piece.split():
             plain = _plain(part)
             out += [x for x in _NOT_LETTERS.split(plain) if x]
-            out += [restore(x, self.model) for x in _lattices(plain)]
+            for x in _lattices(plain):
+                out += restore(x, self.model).split()
         return out
 
-    def features(self, piece: str) -> tuple[int, ...]:
+    def hashes(self, words: list[str]) -> tuple[int, ...]:
         found: list[int] = []
-        for w in self.words(piece):
+        for w in words:
             if len(w) > 2:
                 found.append(zlib.crc32(w.encode()))
                 found += [zlib.crc32(w[:k].encode(), 1) for k in (4, 5, 6) if len(w) > k]
         return tuple(found)
 
+    def features(self, piece: str) -> tuple[int, ...]:
+        return self.hashes(self.words(piece))
+
+    def shape(self, piece: str) -> tuple[int, int, str]:
+        """What may join a piece to its neighbours: its first and last two letters as numbers below 676, -1 for an end
+        with marks and both -2 for a letter alone or a short piece with signs; and the piece without marks at its ends."""
+        plain = _plain(piece)
+        bare = plain.strip(_IDLE)
+        if not bare or _FOREIGN.search(bare):
+            return -1, -1, ""
+        if _LETTERS.fullmatch(bare):
+            if len(bare) == 1:
+                return -2, -2, bare
+            first, last = ((ord(x[0]) - 97) * 26 + ord(x[1]) - 97 for x in (bare[:2], bare[-2:]))
+            return first if plain[0] == bare[0] else -1, last if plain[-1] == bare[-1] else -1, bare
+        return (-2, -2, bare) if len(bare) <= SHORT else (-1, -1, "")
+
     def text_features(self, texts: pa.Array) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(text, features) of its pieces and spaced-out words; a text's features come in any order, more than once."""
+        """(text, features) of its pieces and of the words that several pieces make; a text's features come in any order,
+        more than once."""
+        texts = pc.replace_substring_regex(texts.cast(pa.large_string()), _SPACE, " ")
         index, bounds, distinct = split_batch(texts)
-        found = self.cache.get(strings(distinct))
+        pieces = strings(distinct)
+        found = self.cache.get(pieces)
         keep = np.array([bool(x) for x in found])
         of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         pairs = np.unique(of[keep[index]] * len(found) + index[keep[index]])
         for k in pairs.tolist():
             yield k // len(found), found[k % len(found)]
-        single = np.asarray(pc.equal(pc.utf8_length(distinct), 1)).astype(bool)
-        runs = single[index]
-        if runs.any():
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], runs, [False]]).astype(np.int8)))
-            for a, b in zip(edges[::2], edges[1::2], strict=True):
-                while a < b:  # a run may go over the end of a text
-                    end = min(b, bounds[of[a] + 1])
-                    if end - a > 3:
-                        letters = " ".join(distinct[int(i)].as_py() for i in index[a:end])
-                        yield int(of[a]), self.spaced(letters)
-                    a = end
-
-    def spaced(self, letters: str) -> tuple[int, ...]:
-        return self.features(restore(letters, self.model))
+        shapes = self.shapes.get(pieces)
+        heads, tails = (np.array([x[k] for x in shapes], np.int64)[index] for k in (0, 1))
+        for text, words in self._chains(index, bounds, of, shapes, heads, tails):
+            if features := self.hashes(words):
+                yield text, features
+
+    def _chains(self, index, bounds, of, shapes, heads, tails) -> Iterator[tuple[int, list[str]]]:
+        bare = lambda a, b: [shapes[i][2] for i in index[a:b].tolist()]
+        link = (tails[:-1] >= 0) & (heads[1:] >= 0) & (of[:-1] == of[1:])
+        link[link] = self.joined[tails[:-1][link], heads[1:][link]]
+        for a, b in _runs(link):  # pieces a to b, which are at least two
+            letters = bare(a, b + 1)
+            yield int(of[a]), ["".join(letters), *("".join(x) for x in zip(letters, letters[1:], strict=False) if len(letters) > 2)]
+        link = link.tolist()
+        for start, stop in _runs(heads == -2):
+            while start < stop:  # a run may go over the end of a text
+                low, high = int(bounds[of[start]]), int(bounds[of[start] + 1])
+                end = min(stop, high)
+                left, right = start, end
+                if start > low and tails[start - 1] >= 0:
+                    left -= 1
+                    while left > low and link[left - 1]:
+                        left -= 1
+                if end < high and heads[end] >= 0:
+                    right += 1
+                    while right < high and link[right - 1]:
+                        right += 1
+                before, after = "".join(bare(left, start)), "".join(bare(end, right))
+                own = bare(start, end)
+                for k in range(0, len(own), WINDOW - OVERLAP):
+                    here = own[k : k + WINDOW]
+                    a, b = before if k == 0 else "", after if k + WINDOW >= len(own) else ""
+                    if len(here) + bool(a) + bool(b) > 1:
+                        # Only two letters of each neighbour bear on what is likeliest between them.
+                        words = list(self.lattices.get([" ".join(filter(None, (a[-2:], *here, b[:2])))])[0])
+                        if words:
+                            words[0] = a[:-2] + words[0]
+                            words[-1] += b[2:]
+                            yield int(of[start]), words
+                    if k + WINDOW >= len(own):
+                        break
+                start = end
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 class ToxicityModel:
@@ -204,8 +281,8 @@ class _KnownOnly(Restorer):
         self.weights = weights
         super().__init__(model)
 
-    def features(self, piece: str) -> tuple[int, ...]:
-        return tuple(f for f in super().features(piece) if f in self.weights)
+    def hashes(self, words: list[str]) -> tuple[int, ...]:
+        return tuple(f for f in super().hashes(words) if f in self.weights)
 
 
 def _sampled(characters: np.ndarray):

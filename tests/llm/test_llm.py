@@ -247,6 +247,21 @@ def test_every_word_with_signs_or_doubled_letters_is_decoded():
     assert "idiot" in restorer.words("ab.cd/" * 60 + "1d10t") and restorer.words("x" * 1001) and "scum" in restorer.words("5cum_" + "ab" * 150)
 
 
+def test_words_in_spaced_letters_and_chunks_are_found():
+    counts = np.ones((28, 28, 28))
+    codes = toxicity.byte_codes()[np.frombuffer(b"  you idiot are such a loser  you are a stupid moron and i say the scum is a clown  " * 50, np.uint8)]
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    restorer = toxicity.Restorer(np.log(counts / counts.sum(2, keepdims=True)))
+    made = {"such a l o s e r": ["loser"], "y o u m o r o n": ["you", "moron"], "the  s  c\tu\nm is": ["scum"], "you id iot are": ["idiot"], "a st upid moron": ["stupid"], "such a l 0 s 3 r": ["loser"], "you 1d iot": ["idiot"], "y o u " * 300 + "m o r o n": ["moron"], "i d i o t": ["idiot"]}
+    texts = pa.array([*made, "s c", "u m"])
+    found = [set() for _ in texts]
+    for text, features in restorer.text_features(texts):
+        found[text].update(features)
+    for (text, words), own in zip(made.items(), found, strict=False):
+        assert all(zlib.crc32(w.encode()) in own for w in words), text
+    assert zlib.crc32(b"scum") not in found[-1] | found[-2]  # no word goes over the end of a text
+
+
 @pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.9), ("op5_quality_mil", "quality", 0.95)])
 def test_classifiers_on_the_held_out_fold(spark, name, label, least):
     folder = "/root/testdata/sf0.1"
