@@ -3,13 +3,15 @@
 A rolling hash over the last WINDOW ids cuts each document's id stream into chunks where the hash has its low bits at
 zero, so equal passages give equal chunks wherever they stand. A chunk's address is the SHA-256 of its bytes; each chunk
 is stored once. A document's recipe lists its chunks; recipes are written in ascending id order with the number of ids
-before them. A manifest holds a Merkle tree: the leaves are the hashes of recipes, a node is the hash of its children,
-one subtree a recipe partition, and the root covers all.
+before them. A manifest holds a Merkle tree: the leaves are the hashes of recipes (all their columns), a node is the hash
+of its children, one subtree a recipe partition, and the root, the hash of the subtrees, covers all. Readers make every
+leaf, node and the root anew from the recipes.
 
 Files, all Parquet, below the store's folder:
   chunks/    address binary, n_ids int, width int (bytes an id: 2 or 4, little-endian), payload binary
   recipes/   doc_id, start, n_tokens long, uid long, leaf binary, addresses array<binary>, sizes array<int>; part = range of ids
   manifest/  part int, n_docs, n_tokens long, node binary
+  root/      node binary; one row
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,8 +115,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     staged = spark.read.schema(_DDL).parquet(f"{folder}/staged")
     chunks = staged.select(F.explode("new").alias("c")).select("c.*").dropDuplicates(["address"])
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    leaf = F.unhex(F.sha2(F.concat(F.encode(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_tokens").cast("string"), F.lit("")), "utf-8"), F.aggregate("addresses", F.unhex(F.lit("")), lambda s, x: F.concat(s, x))), 256))
-    recipes = staged.select("doc_id", "uid", "n_tokens", "addresses", "sizes", leaf.alias("leaf"))
+    recipes = staged.select("doc_id", "uid", "n_tokens", "addresses", "sizes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
     ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
@@ -123,15 +124,41 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     # A row for each range partition: as many as spark.sql.shuffle.partitions.
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    final = ranged.join(F.broadcast(before), "part").withColumn("start", (F.col("before") + inside).cast("long")).drop("before")
+    final = ranged.join(F.broadcast(before), "part").withColumn("start", (F.col("before") + inside).cast("long")).drop("before").withColumn("leaf", _leaf())
     final.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     _merkle(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    _root(spark.read.parquet(f"{folder}/manifest")).write.parquet(f"{folder}/root")
     _remove(spark, f"{folder}/staged", f"{folder}/ranged")
 
 
+def _leaf() -> Column:
+    """The hash of a recipe's columns."""
+    numbers = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "uid", "start", "n_tokens")))
+    return F.unhex(F.sha2(F.encode(F.concat_ws("/", numbers, F.array_join(F.col("sizes").cast("array<string>"), ","), F.array_join(F.transform("addresses", F.hex), ",")), "utf-8"), 256))
+
+
+def _root(manifest: DataFrame) -> DataFrame:
+    """The hash of the parts' nodes and counts in order, as many as spark.sql.shuffle.partitions."""
+    nodes = F.array_sort(F.collect_list(F.struct("part", "n_docs", "n_tokens", F.hex("node").alias("node"))))
+    return manifest.agg(F.unhex(F.sha2(F.encode(F.array_join(F.transform(nodes, lambda x: F.concat_ws(":", x["part"].cast("string"), x["n_docs"].cast("string"), x["n_tokens"].cast("string"), x["node"])), ","), "utf-8"), 256)).alias("node"))
+
+
+def _verified(spark: SparkSession, folder: str) -> DataFrame:
+    """The recipes of a store; raises where a leaf, a node or the root isn't what they give."""
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    stored, found = spark.read.parquet(f"{folder}/manifest"), _merkle(recipes)
+    if stored.exceptAll(found).union(found.exceptAll(stored)).take(1):
+        raise ValueError("the recipes differ from the manifest")
+    if spark.read.parquet(f"{folder}/root").collect() != _root(stored).collect():
+        raise ValueError("the manifest differs from the root")
+    return recipes
+
+
 def _merkle(recipes: DataFrame) -> DataFrame:
-    """One node for each part over its leaves in id order, by levels of up to 1,024 children, so no group is large."""
-    ranked = recipes.select("part", "n_tokens", "leaf", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "uid")).alias("k"))
+    """One node for each part over its leaves, made anew, in id order, by levels of up to 1,024 children, so no group is large."""
+    own = _leaf()
+    leaf = F.when(F.col("leaf") == own, own).otherwise(F.raise_error(F.lit("a recipe is damaged")).cast("binary"))
+    ranked = recipes.withColumn("leaf", leaf).select("part", "n_tokens", "leaf", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "uid")).alias("k"))
     level = ranked.select("part", F.expr("(k - 1) div 1024").alias("k"), F.col("leaf").alias("node"), (F.col("k") - 1).alias("at"), F.lit(1).cast("long").alias("n_docs"), "n_tokens")
     for _ in range(3):  # up to 1024 ** 3 documents a part
         joined = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "node"))), F.unhex(F.lit("")), lambda s, x: F.concat(s, x["node"]))
@@ -169,15 +196,12 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids).
 
     Every stored chunk is read, held against its address, and its checksum taken; recipes join those checksums, which
-    combine into a document's without its ids in one place. Raises where a chunk is damaged or missing or a Merkle node
-    differs. Chunks that many recipes name are in one row of the smaller side, which Spark's skew join copies.
+    combine into a document's without its ids in one place. Raises where a chunk is damaged or missing or a Merkle leaf,
+    node or root differs. Chunks that many recipes name are in one row of the smaller side, which Spark's skew join copies.
     """
     ship_code(spark)
     chunks = spark.read.schema("address binary, n_ids int, width int, payload binary").parquet(f"{folder}/chunks")
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    stored, found = spark.read.parquet(f"{folder}/manifest"), _merkle(recipes)
-    if stored.exceptAll(found).union(found.exceptAll(stored)).take(1):
-        raise ValueError("the recipes differ from the manifest")
+    recipes = _verified(spark, folder)
     sums = chunks.mapInArrow(_measured, "address binary, n_read int, crc long")
     # ids after each chunk: what remains of the document
     used = recipes.select("uid", F.posexplode(F.arrays_zip("addresses", "sizes")).alias("k", "c"), "sizes").select("uid", F.col("c.addresses").alias("address"), (F.aggregate(F.expr("slice(sizes, k + 2, size(sizes))"), F.lit(0).cast("long"), lambda s, x: s + x)).alias("tail"))
@@ -190,16 +214,25 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents' ids again: doc_id, uid, ids array<int>. A document's chunks meet in one row."""
+    """The documents' ids again: doc_id, uid, ids array<int>. A document's chunks meet in one row. Raises as read_back does."""
+    ship_code(spark)
     chunks = spark.read.schema("address binary, n_ids int, width int, payload binary").parquet(f"{folder}/chunks")
 
+    def checked(c: dict) -> np.ndarray:
+        if c["payload"] is None:
+            raise ValueError(f"chunk {c['address'].hex()} is missing")
+        ids = unpack(c["width"], c["payload"])
+        if len(ids) != c["n"] or address(c["width"], c["payload"]) != c["address"]:
+            raise ValueError(f"chunk {c['address'].hex()} is damaged")
+        return ids
+
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([unpack(c["width"], c["payload"]) for c in sorted(x, key=lambda c: c["k"])]).astype(np.int32) for x in batch.column("parts").to_pylist()]
+            ids = [np.concatenate([checked(c) for c in sorted(x, key=lambda c: c["k"])]).astype(np.int32) for x in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array([list(x) for x in ids], pa.list_(pa.int32()))], ["doc_id", "uid", "ids"])
 
-    used = spark.read.parquet(f"{folder}/recipes").select("doc_id", "uid", F.posexplode("addresses").alias("k", "address"))
-    parts = used.join(chunks, "address").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("k", "width", "payload")).alias("parts"))
+    used = _verified(spark, folder).select("doc_id", "uid", F.posexplode(F.arrays_zip("addresses", "sizes")).alias("k", "c")).select("doc_id", "uid", "k", F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"))
+    parts = used.join(chunks, "address", "left").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("k", "n", "address", "width", "payload")).alias("parts"))
     return parts.mapInArrow(rebuilt, "doc_id long, uid long, ids array<int>")
 
 

@@ -63,6 +63,32 @@ def test_store_gives_back_every_id_and_finds_damage(spark, docs, tmp_path):
         content_store.read_back(spark, str(tmp_path / "s")).collect()
 
 
+def test_store_finds_changed_recipes_and_lost_chunks(spark, docs, tmp_path):
+    folder = tmp_path / "s"
+    content_store.write_store(docs, BYTES, str(folder), 2)
+    read = {k: (spark.read.parquet(str(folder / k)).collect(), spark.read.parquet(str(folder / k)).schema) for k in ("recipes", "chunks", "root")}
+
+    def put(name, rows):
+        spark.createDataFrame(rows, read[name][1]).coalesce(1).write.mode("overwrite").parquet(str(folder / name))
+
+    def fails(name, rows, match):
+        put(name, rows)
+        for reader in (content_store.read_back, content_store.read_ids):
+            with pytest.raises(Exception, match=match):
+                reader(spark, str(folder)).collect()
+        put(name, read[name][0])
+
+    recipes = [r.asDict() for r in read["recipes"][0]]
+    long = next(r for r in recipes if len(set(r["addresses"])) > 2)
+    exchanged = [long["addresses"][1], long["addresses"][0], *long["addresses"][2:]]
+    sizes = [long["sizes"][1], long["sizes"][0], *long["sizes"][2:]]
+    for change in ({"addresses": exchanged}, {"sizes": [*sizes[:-1], sizes[-1] + 1]}, {"start": long["start"] + 1}):
+        fails("recipes", [r | (change if r["uid"] == long["uid"] else {}) for r in recipes], "recipe")
+    fails("chunks", read["chunks"][0][1:], "missing")
+    fails("root", [(b"x",)], "root")
+    assert content_store.read_back(spark, str(folder)).count() == content_store.read_ids(spark, str(folder)).count() == len(ODD)
+
+
 def test_equal_passages_give_equal_chunks():
     r = np.random.default_rng(2)
     shared = r.integers(0, 50000, 4000)
