@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
     keep = ["doc_id", "uid", "start", "length", "ids_crc32", "doc_tokens"]
     whole = pieces.where("full is not null").select(*keep, (F.col("full") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where("full is null")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest.count() // BUCKET_ROWS))
+    buckets = max(1, -(-rest.count() // BUCKET_ROWS))  # of the remainders alone, so that no setting changes the packing
     dealt = rest.select(*keep, F.pmod(F.xxhash64("uid"), F.lit(buckets)).alias("bucket")).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "uid")
     ddl = ", ".join(f"{c} long" for c in [*keep, "sequence_id", "offset"])
     return whole.unionByName(dealt.mapInArrow(_placed(window), ddl))

@@ -221,6 +221,19 @@ def test_packing_covers_each_id_once(spark, docs):
         assert at == n
 
 
+def test_small_tables_pack_tightly_under_any_setting(spark):
+    rows = [(k, f"a short text number {k}") for k in range(200)]
+    frame, key, found = spark.createDataFrame(rows, "doc_id long, text string"), "spark.sql.shuffle.partitions", []
+    old = spark.conf.get(key)
+    try:
+        for partitions in ("4", "64"):
+            spark.conf.set(key, partitions)
+            found.append(sorted((r["doc_id"], r["sequence_id"], r["offset"], r["length"]) for r in packing.pack_documents(frame, BYTES, 0).collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert found[0] == found[1] and len({r[1] for r in found[0]}) == -(-sum(r[3] for r in found[0]) // packing.WINDOW)
+
+
 def test_best_fit_takes_the_tightest_window():
     fit, rooms = packing.BestFit(64), {}
     for n in sorted(np.random.default_rng(5).integers(1, 65, 400).tolist(), reverse=True):
