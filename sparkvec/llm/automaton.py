@@ -23,18 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import ship_code, small_batches, table, text_or_empty
-from sparkvec.llm.words import PieceCache, split_batch, strings
+from sparkvec.llm.words import PieceCache, byte_symbols, split_batch, strings
 
 _MACHINES: dict[str, WordAutomaton] = {}
 
 
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from U+0100."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
-
-
 class WordAutomaton:
     def __init__(self, path: str):
         import regex

@@ -1,13 +1,16 @@
 """Token ids of whole texts as the tokenizers library gives them for a byte-level vocabulary, each distinct word encoded once.
 
-With this vocabulary's splitting pattern a text may be cut before any space unless white space stands on both sides of
-the cut: whatever is matched before ends there, and the space belongs to what follows. So the ids of a text are those of
-its pieces, and the library need only see each distinct piece. Texts with white space on both sides of a space go to the
-library whole.
+The vocabulary's splitting pattern ends a match before each run of letters and the one space that may stand before it, and
+behind the run. So a text is cut there, and the ids of a text are those of its segments. Where a segment without letters
+bears on what follows (an apostrophe before a letter may be a contraction, white space may be shared out otherwise, other
+scripts may hold letters too), it isn't cut off. Texts with an added token, and all texts where the file has another
+pattern, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from array import array
 from collections.abc import Iterator
 
@@ -15,111 +18,118 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sparkvec.llm.words import PieceCache, gather, split_batch, strings
+from sparkvec.llm.common import small_batches
+from sparkvec.llm.words import PieceCache, byte_symbols, gather, large, released, strings
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 
-
-#: ASCII punctuation after a letter or digit begins a match of its own; an apostrophe may begin a contraction.
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-#: Words that the library gets as one text.
-_TOGETHER = 512
+#: Bytes of text that are encoded at once.
+BYTES = 4 << 20
+#: Kinds of bytes: letters of ASCII, first bytes of two-byte Latin letters, white space, and all others.
+_LETTER, _LEAD, _WHITE = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[range(0xC3, 0xC9)] = _LEAD
+_KIND[[*range(9, 14), *range(28, 33)]] = _WHITE
+#: What consists of those letters, after a space or none.
+_PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ȿ]+$"
+_PATTERN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def segment_ends(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The places in UTF-8 data where segments end, with 0 first; bounds are those of texts, all of which are among them."""
+    n = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero(kind == _LEAD)
+    second = data[np.minimum(lead + 1, n - 1)]
+    lead = lead[(data[lead] != 0xC3) | (second != 0x97) & (second != 0xB7)]  # two signs among the letters
+    letter = np.zeros(n + 2, np.bool_)  # letter[i + 1]: data[i] is part of a letter
+    letter[1:-1] = kind == _LETTER
+    letter[lead + 1] = letter[lead + 2] = True
+    inside = bounds[(bounds > 0) & (bounds < n)]
+    edge = letter[1:] != letter[:-1]  # edge[i]: between data[i - 1] and data[i]
+    edge[inside] |= letter[inside + 1]
+    cut = np.zeros(n + 1, np.bool_)
+    starts = np.flatnonzero(edge & letter[1:])
+    first = np.zeros(n + 1, np.bool_)
+    first[bounds] = True
+    rest = starts[~first[starts]]
+    before = data[rest - 1]
+    spaced = before == 32
+    cut[starts[first[starts]]] = True
+    cut[rest[spaced] - 1] = True
+    bare, before = rest[~spaced], before[~spaced]
+    two = first[bare - 1] | (bare < 2)  # nothing of the same text before that byte
+    earlier = data[np.maximum(bare - 2, 0)]
+    shared = (before == 39) | (before >= 128) | (_KIND[before] == _WHITE) & ~two & ((_KIND[earlier] == _WHITE) | (earlier >= 128))
+    cut[bare[~shared]] = True
+    ends = np.flatnonzero(edge & letter[:-1])
+    ends = ends[(ends == n) | first[ends] | (data[np.minimum(ends, n - 1)] < 128) | letter[np.minimum(ends, n - 1) + 1]]
+    cut[ends] = True
+    cut[bounds] = True
+    return np.flatnonzero(cut)
 
 
 class ByteEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has a character for each byte
-        for token, i in self.tokenizer.get_vocab().items():
-            self.lengths[i] = len(token)
-        self.spaced, self.first, self.tails = PieceCache(self._spaced), PieceCache(self._single, 30_000), PieceCache(self._single, 30_000)
-
-    def _single(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece after a space. Pieces without white space at their ends are joined, and the ids told apart by
-        their lengths in bytes."""
-        out: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
-        for i, ids in zip(odd := sorted(set(range(len(pieces))) - set(plain)), self._single([" " + pieces[i] for i in odd]), strict=True):
-            out[i] = ids
-        groups = [plain[at : at + _TOGETHER] for at in range(0, len(plain), _TOGETHER)]
-        joined = ["".join([" " + pieces[i] for i in g]) for g in groups]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            reached, raw = np.cumsum(self.lengths[ids]), ids.tobytes()
-            ends = np.cumsum([1 + len(pieces[i].encode()) for i in g])
-            cuts = np.searchsorted(reached, ends) + 1
-            if not np.array_equal(reached[cuts - 1], ends):
-                raise ValueError("a token reaches over a space")
-            at = 0
-            for i, end in zip(g, (4 * cuts).tolist(), strict=True):
-                out[i] = raw[at:end]
-                at = end
-        return out
+        # The same model without the library's own cache of words, as each word comes once.
+        self.model = models.BPE(spec["model"]["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]], cache_capacity=0)
+        self.tokenizer.model = self.model
+        found = spec["pre_tokenizer"] or {}
+        # Fields of the model that change what a word gives must be off.
+        plain = all(not spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.cuts = plain and spec["normalizer"] is None and all(found.get(k) == v for k, v in _PATTERN.items())
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.known = PieceCache(self._made, 200_000)
+
+    def _made(self, pieces: list[str]) -> list[bytes]:
+        """Ids of segments. A segment of letters is one match, so it goes to the library's model without a search for more."""
+        plain = np.asarray(pc.match_substring_regex(pa.array(pieces, pa.large_string()), _PLAIN)).tolist()
+        space, symbols = self.symbols[32], self.symbols
+        words = [p.replace(" ", space) if p.isascii() else p.encode().decode("latin-1").translate(symbols) for p, own in zip(pieces, plain, strict=True) if own]
+        tokens = list(map(self.model.tokenize, words))
+        ends = np.cumsum([0, *map(len, tokens)]) * 4
+        raw = array("I", [t.id for x in tokens for t in x]).tobytes()
+        letters = map(raw.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))
+        others = iter(self.tokenizer.encode_batch_fast([p for p, own in zip(pieces, plain, strict=True) if not own], add_special_tokens=False))
+        return [next(letters) if own else array("I", next(others).ids).tobytes() for own in plain]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined as unsigned 32-bit integers, where each text's ids begin with the end at last)."""
-        if not len(texts):
-            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        index, bounds, distinct = split_batch(texts)
-        heads = bounds[:-1]
-        bad = _cut_in_white(distinct, index, heads)
-        core, tail, cores, tails = _tails_apart(distinct)
-        first = self.first.get(strings(distinct.take(pa.array(index[heads]))))
-        found = self.spaced.get(cores) + self.tails.get(tails) + first
-        parts = np.empty(2 * len(index), np.int64)
-        parts[::2], parts[1::2] = core[index], len(cores) + tail[index]
-        parts[2 * heads] = len(cores) + len(tails) + np.arange(len(heads))
-        parts[2 * heads + 1] = len(cores)  # the empty tail
+        bounds, data = large(texts)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        if not self.cuts:
+            return self._whole(texts, np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64), np.arange(len(texts)))
+        at = segment_ends(np.frombuffer(data, np.uint8), bounds)
+        segments = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+        index = segments.indices.to_numpy(zero_copy_only=False)
+        found = self.known.get(strings(segments.dictionary))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = gather(parts, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(found), "<u4"))
-        offsets = np.concatenate([[0], np.cumsum(sizes[parts])])[2 * bounds]
-        if len(bad):
-            ids, offsets = self._whole(texts, ids, offsets, np.unique(np.searchsorted(bounds, bad, "right") - 1))
-        return ids, offsets
+        ids = gather(index, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(found), "<u4"))
+        offsets = np.concatenate([[0], np.cumsum(sizes[index])])[np.searchsorted(at, bounds)]
+        odd = np.zeros(len(texts), np.bool_)
+        for token in self.added:
+            odd |= np.asarray(pc.fill_null(pc.match_substring(texts, token), False))
+        return self._whole(texts, ids, offsets, np.flatnonzero(odd)) if odd.any() else (ids, offsets)
 
     def _whole(self, texts: pa.Array, ids: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        for i, e in zip(which, self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in which], add_special_tokens=False), strict=True):
+        for i, e in zip(which, self.tokenizer.encode_batch_fast([texts[int(i)].as_py() or "" for i in which], add_special_tokens=False), strict=True):
             parts[i] = np.array(e.ids, "<u4")
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def _tails_apart(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
-    """(index of each piece's core, index of its tail, distinct cores, distinct tails of which the first is empty)."""
-    stripped = pc.ascii_rtrim(distinct, _TAIL)
-    apart = pc.and_not(pc.utf8_is_alnum(pc.utf8_slice_codeunits(stripped, -1, None)), pc.match_substring(distinct, "<|"))
-    cores = pc.if_else(apart, stripped, distinct)
-    coded = cores.dictionary_encode()
-    where = np.flatnonzero(np.asarray(pc.not_equal(pc.binary_length(cores), pc.binary_length(distinct))))
-    tails, tail = {"": 0}, np.zeros(len(distinct), np.int64)
-    tail[where] = [tails.setdefault(p[len(c) :], len(tails)) for p, c in zip(strings(distinct.take(pa.array(where))), strings(cores.take(pa.array(where))), strict=True)]
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), tail, strings(coded.dictionary), list(tails)
-
-
-def _cut_in_white(distinct: pa.Array, index: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Places in index of pieces that end in white space, or are empty, before a piece of the same text that begins so."""
-    empty = pc.equal(pc.binary_length(distinct), 0)
-    white = [np.asarray(pc.or_(empty, pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, *cut)))) for cut in ((0, 1), (-1, None))]
-    if not white[0].any():
-        return np.zeros(0, np.int64)
-    bad = white[1][index[:-1]] & white[0][index[1:]]
-    bad[heads[1:] - 1] = False
-    return np.flatnonzero(bad)
-
-
 def encoder(path: str) -> ByteEncoder:
     """This process's encoder of a vocabulary file, with what it has kept."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = ByteEncoder(path)
@@ -128,11 +138,8 @@ def encoder(path: str) -> ByteEncoder:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each small batch: the batch, the ids of its texts with end_id after each, and where each text's ids begin."""
-    from sparkvec.llm.common import small_batches
-
     own = encoder(path)
-    for batch in small_batches(batches, text):
+    for batch in released(small_batches(batches, text, BYTES)):
         if batch.num_rows:
             ids, offsets = own.encode(batch.column(text))
-            at = offsets[1:]
-            yield batch, np.insert(ids, at, end_id).astype("<u4"), offsets + np.arange(len(offsets))
+            yield batch, np.insert(ids, offsets[1:], end_id).astype("<u4"), offsets + np.arange(len(offsets))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,14 @@ def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+def large(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """(where each text begins in the buffer with the end at last, the buffer of their bytes). Null is empty."""
+    column = pc.fill_null(texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2] or pa.py_buffer(b"")
+    return ends - ends[0], data.slice(ends[0], ends[-1] - ends[0])
+
+
 def split_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(index of each piece, where each text's pieces begin with the end at last, distinct pieces). Pieces are what
     str.split(' ') gives: there is one at least for each text, and joined by spaces they are the text. Null is empty."""
@@ -32,23 +42,39 @@ def gather(index: np.ndarray, begins: np.ndarray, sizes: np.ndarray, values: np.
 
 
 class PieceCache:
-    """What make() gives for pieces, kept for up to two generations of limit entries each."""
+    """What make() gives for pieces. At most limit pieces are kept, none longer than LONG, so that memory is bounded; when
+    more come, those of the last call take their place."""
+
+    LONG = 48
 
     def __init__(self, make: Callable[[list[str]], list], limit: int = 150_000):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+        self.make, self.limit, self.known = make, limit, {}
 
     def get(self, pieces: list[str]) -> list:
-        new, old = self.new, self.old
-        out = list(map(new.get, pieces))
+        out = list(map(self.known.get, pieces))
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            for i in missing:
-                if (x := old.get(pieces[i])) is not None:
-                    out[i] = new[pieces[i]] = x
-            still = [i for i in missing if out[i] is None]
-            if still:
-                for i, x in zip(still, self.make([pieces[i] for i in still]), strict=True):
-                    out[i] = new[pieces[i]] = x
-            if len(new) > self.limit:
-                self.old, self.new = new, {}
+            names = [pieces[i] for i in missing]
+            made = self.make(names)
+            for i, x in zip(missing, made, strict=True):
+                out[i] = x
+            if len(self.known) + len(names) > self.limit:
+                names, made, self.known = pieces[: self.limit], out, {}
+            self.known.update((p, x) for p, x in zip(names, made, strict=False) if len(p) <= self.LONG)
         return out
+
+
+def byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from U+0100."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
+def released(batches: Iterator) -> Iterator:
+    """The same batches; at the end of a task, memory that Arrow and the C library hold for later goes back, as a worker
+    lives on beside those of other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
