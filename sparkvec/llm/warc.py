@@ -1,10 +1,10 @@
 """WARC records in a chunked record table.
 
 A record is a run of rows (record, chunk_no): joined in that order, their data are the WARC/1.1 bytes of the record, and
-the rows of a file those of an archive. A payload larger than CHUNK is cut as it is written and digested as it is read,
-so no side holds a second copy of it; each row carries the SHA-1 of the payload up to its end, and a reader that finds
-another one stops there. Of records with equal payloads the one with the least page_id holds the payload; the others
-are revisits that name it.
+the rows of a file those of an archive. A payload is cut into parts of CHUNK bytes before it reaches the writer, which so
+holds a batch of parts and no record; it carries the payload's SHA-1 from row to row, each row has the digest up to its
+end, and a reader that finds another one stops there. Of records with equal payloads the one with the least page_id holds
+the payload; the others are revisits that name it, written without their payloads being moved.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import join_groups, shared_folder, ship_code, staged, table, text_or_empty
+from sparkvec.llm import bloom
+from sparkvec.llm.common import Scratch, join_groups, shared_folder, ship_code, table, text_or_empty
 
 #: Bytes of payload in a row at most, and the least payload that a revisit may stand for.
 CHUNK, LEAST = 64 << 10, 0
@@ -31,9 +32,9 @@ _ROWS = pa.schema([("record", pa.string()), ("page_id", pa.int64()), ("chunk_no"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_id(page_id: int | None, k: int) -> str:
-    """The urn of the k-th record of a page."""
-    h = hashlib.sha1(f"page {page_id} record {k}".encode()).hexdigest()
+def record_id(page_id: int | None, key: bytes, uid: int | None) -> str:
+    """The urn of a page's record: of its response to a payload's key, or of the revisit in row uid."""
+    h = hashlib.sha1(f"page {page_id} payload {key.hex()} row {uid}".encode()).hexdigest()
     return f"urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}"
 
 
@@ -41,62 +42,64 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_rows(page_id: int | None, k: int, url: str | None, payload: memoryview, digest: bytes, refers_to: int | None, revisit: bool) -> Iterator[tuple]:
-    """The rows of one record."""
-    own = record_id(page_id, k)
-    size = 0 if revisit else len(payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join((url or '').split())}"]
-    lines += [f"WARC-Payload-Digest: sha1:{_base32(digest)}", f"X-Payload-Length: {len(payload)}"]
+def header(page_id: int | None, url: str | None, key: bytes, n: int, uid: int | None, refers_to: int | None) -> bytes:
+    """The bytes of a record before its payload of n bytes; a revisit has a uid and no payload. The key begins with the
+    payload's SHA-1."""
+    revisit = uid is not None
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id, key, uid)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join((url or '').split())}"]
+    lines += [f"WARC-Payload-Digest: sha1:{_base32(key[:20])}", f"X-Payload-Length: {n}"]
     if revisit:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{record_id(refers_to, 0)}>", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(_HTTP) + size}", "", ""]
-    head = "\r\n".join(lines).encode() + _HTTP
-    n, sha = max(1, -(-size // CHUNK)), hashlib.sha1()
-    for c in range(n):
-        part = payload[c * CHUNK : min((c + 1) * CHUNK, size)]
-        sha.update(part)
-        yield own, page_id, c, n, sha.digest(), b"".join((head if c == 0 else b"", part, b"\r\n\r\n" if c == n - 1 else b""))
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{record_id(refers_to, key, None)}>", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(_HTTP) + (0 if revisit else n)}", "", ""]
+    return "\r\n".join(lines).encode() + _HTTP
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by page_id and digest, so further rows with both equal follow the first."""
-    last, k = None, 0
+    """Rows of the table from parts of payloads; those of a record follow each other."""
+    sha = hashlib.sha1()
     for batch in batches:
-        rows, held = [], 0
-        columns = (batch.column(c) for c in ("page_id", "url", "html", "sha", "first"))
-        for page_id, url, html, sha, first in zip(*columns, strict=True):
-            page, digest = page_id.as_py(), sha.as_py()
-            payload = memoryview(html.as_buffer() or b"")
-            k = k + 1 if last is not None and last[0] == page else 0
-            again = last == (page, digest)
-            last = (page, digest)
-            target = first.as_py()
-            revisit = len(payload) >= LEAST and (again or target is not None and target != page)
-            for row in record_rows(page, k, url.as_py(), payload, digest, target if target is not None else page, revisit):
-                rows.append(row)
-                held += len(row[-1])
-                if held > 8 * CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
+        names, numbers, ends, data = [], [], [], []
+        others = (batch.column(c).to_pylist() for c in ("page_id", "url", "key", "n", "uid", "refers_to", "n_chunks", "chunk_no"))
+        for page, url, key, n, uid, refers_to, n_chunks, c, part in zip(*others, batch.column("part"), strict=True):
+            own = memoryview(part.as_buffer() or b"")
+            if c == 0:
+                sha = hashlib.sha1()
+            sha.update(own)
+            names.append(record_id(page, key, uid))
+            numbers.append(c)
+            ends.append(sha.digest())
+            data.append(b"".join((header(page, url, key, n, uid, refers_to) if c == 0 else b"", own, b"\r\n\r\n" if c == n_chunks - 1 else b"")))
+        yield pa.RecordBatch.from_arrays([pa.array(names), batch.column("page_id"), pa.array(numbers, pa.int32()), batch.column("n_chunks"), pa.array(ends, pa.binary()), pa.array(data, pa.binary())], schema=_ROWS)
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
     """A record for each row of pages (page_id, url, html; null html: empty) in the table at folder.
 
-    Repeated rows give a response and revisits of it. A null page_id is larger than any other and shares no other's record
-    id. No rows give an empty table; other columns are ignored.
+    Repeated rows give a response and revisits of it. A null page_id is larger than any other; of rows that share the least
+    page_id, that with the least url is the response. No rows give an empty table; other columns are ignored. Only rows
+    whose payload a Bloom filter finds possibly repeated move, once each task has reduced equal payloads to one.
     """
-    ship_code(pages.sparkSession)
+    spark = pages.sparkSession
+    ship_code(spark)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(text_or_empty("html"), "utf-8").alias("html"))
-    digested = own.withColumn("sha", F.unhex(F.sha1("html")))
-    narrow = staged(digested.select("page_id", "sha"), "digests")
-    groups = narrow.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    repeated = join_groups(narrow, staged(groups, "groups"), "sha", "c", narrow.count()).where("first is not null").select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "first").distinct()
-    joined = digested.join(repeated, digested["page_id"].eqNullSafe(repeated["_page"]) & (digested["sha"] == repeated["_sha"]), "left")
-    sorted_rows = joined.select("page_id", "url", "html", "sha", "first").repartition("page_id").sortWithinPartitions("page_id", "sha")
-    sorted_rows.mapInArrow(_written, _TABLE).write.option("compression", "zstd").parquet(folder)
+    # Payloads are equal if their SHA-1, another hash and their length are.
+    digested = own.withColumn("n", F.octet_length("html").cast("long")).withColumn("key", F.unhex(F.concat(F.sha1("html"), F.lpad(F.hex(F.xxhash64("html")), 16, "0"), F.lpad(F.hex("n"), 16, "0"))))
+    place = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    with Scratch(spark) as scratch:
+        narrow = scratch.stage(digested.select("page_id", "url", "key", "n", F.monotonically_increasing_id().alias("uid")), "digests")
+        total = narrow.count()
+        shared = narrow.where(F.col("n") >= LEAST)
+        first = shared.groupBy("key").agg(F.min(F.struct(place.alias("place"), "uid")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        groups = scratch.stage(first.select("key", "c", F.col("first.place.page_id").alias("refers_to"), F.col("first.uid").alias("_uid")), "groups")
+        again = join_groups(shared, groups, "key", "c", total).where("uid <> _uid").select("page_id", "url", "key", "n", "uid", "refers_to", F.lit(1).alias("n_chunks"), F.lit(0).alias("chunk_no"), F.lit(b"").alias("part"))
+        bits = bloom.filter_bits(total)
+        marked = bloom.mark_repeated(digested, bloom.repeated_words(shared.select("key"), "key", bits), "key", bits, "maybe")
+        several = F.col("maybe") & (F.col("n") >= LEAST)
+        one = marked.where(several).groupBy("key").agg(F.min_by(F.struct("page_id", "url", "html", "n"), place).alias("r")).select("r.*", "key")
+        held = marked.where(~several).select("page_id", "url", "html", "n", "key").unionByName(one).withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int"))
+        cut = held.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).withColumn("part", F.substring("html", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)))
+        responses = cut.select("page_id", "url", "key", "n", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("refers_to"), "n_chunks", "chunk_no", "part")
+        responses.unionByName(again).mapInArrow(_written, _TABLE).write.option("compression", "zstd").parquet(folder)
 
 
 class _Reader:
