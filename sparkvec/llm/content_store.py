@@ -9,7 +9,8 @@ leaf, node and the root anew from the recipes.
 
 Files, all Parquet, below the store's folder:
   chunks/    address binary, n_ids int, width int (bytes an id: 2 or 4, little-endian), payload binary
-  recipes/   doc_id, start, n_tokens long, uid long, leaf binary, addresses array<binary>, sizes array<int>; part = range of ids
+  recipes/   doc_id, start, n_tokens long, uid long, leaf binary, addresses array<binary>, begins array<long>, sizes array<int>;
+             part = range of ids
   manifest/  part int, n_docs, n_tokens long, node binary
   root/      node binary; one row
 """
@@ -26,15 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkvec.llm.common import shared_folder, ship_code, table, text_or_empty
+from sparkvec.llm.common import removed, shared_folder, ship_code, table, text_or_empty
 from sparkvec.llm.crc import crc_shift
 from sparkvec.llm.encoding import encoded
 
 #: Ids that the rolling hash sees, and the least, mean (a power of two) and most ids of a chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("addresses", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("new", pa.list_(pa.struct([("address", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary())])))])
-_DDL = "doc_id long, uid long, n_tokens long, addresses array<binary>, sizes array<int>, new array<struct<address: binary, n_ids: int, width: int, payload: binary>>"
+_CHUNK = pa.struct([("address", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary())])
+_DDL = "doc_id long, uid long, n_tokens long, addresses array<binary>, begins array<long>, sizes array<int>, new array<struct<address: binary, n_ids: int, width: int, payload: binary>>"
 
 
 def id_hashes(ids: np.ndarray) -> np.ndarray:
@@ -45,24 +46,29 @@ def id_hashes(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """The ends of a stream's chunks. Whether a place is a candidate depends on the WINDOW ids before it only."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """The places behind which a chunk may end: each depends on the WINDOW ids before it only, so streams that stand one
+    after another can be searched as one, as no chunk ends within LEAST ids of its beginning."""
     h, span = id_hashes(ids), 1
-    while span < WINDOW:  # h[i] = sum of hash(ids[i - j]) << j over j < span
+    while span < min(WINDOW, len(ids)):  # h[i] = sum of hash(ids[i - j]) << j over j < span
         h[span:] = h[span:] + (h[:-span] << np.uint64(span))
         span *= 2
-    candidates = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MEAN - 1) == 0) + 1
-    ends, at = [], 0
-    while n - at > LEAST:
-        k = np.searchsorted(candidates, at + LEAST)
-        end = min(int(candidates[k]) if k < len(candidates) else n, at + MOST, n)
-        ends.append(end)
-        at = end
-    if at < n:
-        ends.append(n)
+    return np.flatnonzero((h >> np.uint64(20)) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def cut_points(start: int, stop: int, places: np.ndarray) -> list[int]:
+    """The ends of the chunks of the stream from start to stop; places are the candidates, in order."""
+    if stop - start <= LEAST:
+        return [stop] if stop > start else []
+    own = places[np.searchsorted(places, start + LEAST) : np.searchsorted(places, stop)].tolist()
+    ends, at, k = [], start, 0
+    while stop - at > LEAST:
+        while k < len(own) and own[k] < at + LEAST:
+            k += 1
+        at = min(own[k] if k < len(own) else stop, at + MOST, stop)
+        ends.append(at)
+    if at < stop:
+        ends.append(stop)
     return ends
 
 
@@ -79,26 +85,37 @@ def address(width: int, payload: bytes) -> bytes:
     return hashlib.sha256(b"%d:" % width + payload).digest()
 
 
+def _lists(counts: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values)
+
+
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # chunks already sent by this task; begun anew when large
         for batch, ids, offsets in encoded(batches, path, end_id):
-            rows = []
-            for doc_id, uid, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                own, at, addresses, sizes, new = ids[a:b], 0, [], [], []
-                for end in cut_points(own):
-                    width, payload = pack(own[at:end])
-                    key = address(width, payload)
-                    addresses.append(key)
-                    sizes.append(end - at)
-                    if key not in seen:
-                        seen.add(key)
-                        new.append({"address": key, "n_ids": end - at, "width": width, "payload": payload})
-                    at = end
-                rows.append({"doc_id": doc_id, "uid": uid, "n_tokens": len(own), "addresses": addresses, "sizes": sizes, "new": new})
-            if len(seen) > 500_000:
+            places, bounds = candidates(ids), offsets.tolist()
+            cuts = [cut_points(a, b, places) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            counts = list(map(len, cuts))
+            ends = np.array([e for own in cuts for e in own], np.int64)
+            starts = np.concatenate([[0], ends[:-1]])  # an id ends each text, so the streams' chunks follow each other
+            wide = np.maximum.reduceat(ids, starts) >= 65536
+            raw = {2: ids.astype("<u2").tobytes(), 4: ids.tobytes() if wide.any() else b""}
+            keys, fresh = [], []
+            for k, (a, b, w) in enumerate(zip(starts.tolist(), ends.tolist(), np.where(wide, 4, 2).tolist(), strict=True)):
+                payload = raw[w][w * a : w * b]
+                key = address(w, payload)
+                keys.append(key)
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append((k, w, payload))
+            of = np.repeat(np.arange(len(counts)), counts)
+            news = [k for k, _, _ in fresh]
+            columns = [pa.array([keys[k] for k in news], pa.binary()), pa.array((ends - starts)[news], pa.int32()), pa.array([w for _, w, _ in fresh], pa.int32()), pa.array([p for _, _, p in fresh], pa.binary())]
+            new = _lists(np.bincount(of[news], minlength=len(counts)).tolist(), pa.StructArray.from_arrays(columns, fields=list(_CHUNK)))
+            lists = [_lists(counts, pa.array(x)) for x in (pa.array(keys, pa.binary()), starts - offsets[:-1][of], pa.array(ends - starts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(np.diff(offsets)), *lists, new], ["doc_id", "uid", "n_tokens", "addresses", "begins", "sizes", "new"])
+            if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
     return run
 
@@ -113,9 +130,10 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_or_empty().alias("text"))
     own.mapInArrow(_chunked(path, end_id), _DDL).write.option("compression", "zstd").parquet(f"{folder}/staged")
     staged = spark.read.schema(_DDL).parquet(f"{folder}/staged")
-    chunks = staged.select(F.explode("new").alias("c")).select("c.*").dropDuplicates(["address"])
+    # Each task sends a chunk once, so a sort before the shuffle would find next to nothing.
+    chunks = staged.select(F.explode("new").alias("c")).select("c.*").repartition("address").dropDuplicates(["address"])
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    recipes = staged.select("doc_id", "uid", "n_tokens", "addresses", "sizes")
+    recipes = staged.select("doc_id", "uid", "n_tokens", "addresses", "begins", "sizes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
     ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
@@ -126,15 +144,15 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     final = ranged.join(F.broadcast(before), "part").withColumn("start", (F.col("before") + inside).cast("long")).drop("before").withColumn("leaf", _leaf())
     final.write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    _merkle(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    _merkle(spark.read.parquet(f"{folder}/recipes"), F.col("leaf")).write.parquet(f"{folder}/manifest")
     _root(spark.read.parquet(f"{folder}/manifest")).write.parquet(f"{folder}/root")
-    _remove(spark, f"{folder}/staged", f"{folder}/ranged")
+    removed(spark, f"{folder}/staged", f"{folder}/ranged")
 
 
 def _leaf() -> Column:
     """The hash of a recipe's columns."""
     numbers = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "uid", "start", "n_tokens")))
-    return F.unhex(F.sha2(F.encode(F.concat_ws("/", numbers, F.array_join(F.col("sizes").cast("array<string>"), ","), F.array_join(F.transform("addresses", F.hex), ",")), "utf-8"), 256))
+    return F.unhex(F.sha2(F.encode(F.concat_ws("/", numbers, F.array_join(F.col("begins").cast("array<string>"), ","), F.array_join(F.col("sizes").cast("array<string>"), ","), F.array_join(F.transform("addresses", F.hex), ",")), "utf-8"), 256))
 
 
 def _root(manifest: DataFrame) -> DataFrame:
@@ -146,7 +164,9 @@ def _root(manifest: DataFrame) -> DataFrame:
 def _verified(spark: SparkSession, folder: str) -> DataFrame:
     """The recipes of a store; raises where a leaf, a node or the root isn't what they give."""
     recipes = spark.read.parquet(f"{folder}/recipes")
-    stored, found = spark.read.parquet(f"{folder}/manifest"), _merkle(recipes)
+    own = _leaf()
+    checked = F.when(F.col("leaf") == own, own).otherwise(F.raise_error(F.lit("a recipe is damaged")).cast("binary"))
+    stored, found = spark.read.parquet(f"{folder}/manifest"), _merkle(recipes, checked)
     if stored.exceptAll(found).union(found.exceptAll(stored)).take(1):
         raise ValueError("the recipes differ from the manifest")
     if spark.read.parquet(f"{folder}/root").collect() != _root(stored).collect():
@@ -154,10 +174,8 @@ def _verified(spark: SparkSession, folder: str) -> DataFrame:
     return recipes
 
 
-def _merkle(recipes: DataFrame) -> DataFrame:
-    """One node for each part over its leaves, made anew, in id order, by levels of up to 1,024 children, so no group is large."""
-    own = _leaf()
-    leaf = F.when(F.col("leaf") == own, own).otherwise(F.raise_error(F.lit("a recipe is damaged")).cast("binary"))
+def _merkle(recipes: DataFrame, leaf: Column) -> DataFrame:
+    """One node for each part over its leaves, in id order, by levels of up to 1,024 children, so no group is large."""
     ranked = recipes.withColumn("leaf", leaf).select("part", "n_tokens", "leaf", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "uid")).alias("k"))
     level = ranked.select("part", F.expr("(k - 1) div 1024").alias("k"), F.col("leaf").alias("node"), (F.col("k") - 1).alias("at"), F.lit(1).cast("long").alias("n_docs"), "n_tokens")
     for _ in range(3):  # up to 1024 ** 3 documents a part
@@ -167,13 +185,6 @@ def _merkle(recipes: DataFrame) -> DataFrame:
     return level.select(F.col("part").cast("int").alias("part"), "n_docs", "n_tokens", "node")
 
 
-def _remove(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = ("address", "n_ids", "width", "payload")
@@ -203,9 +214,11 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     chunks = spark.read.schema("address binary, n_ids int, width int, payload binary").parquet(f"{folder}/chunks")
     recipes = _verified(spark, folder)
     sums = chunks.mapInArrow(_measured, "address binary, n_read int, crc long")
+    each = F.posexplode(F.arrays_zip("addresses", "begins", "sizes")).alias("k", "c")
     # ids after each chunk: what remains of the document
-    used = recipes.select("uid", F.posexplode(F.arrays_zip("addresses", "sizes")).alias("k", "c"), "sizes").select("uid", F.col("c.addresses").alias("address"), (F.aggregate(F.expr("slice(sizes, k + 2, size(sizes))"), F.lit(0).cast("long"), lambda s, x: s + x)).alias("tail"))
-    joined = used.join(sums, "address", "left").select("uid", "tail", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "n_read")
+    used = recipes.select("uid", "n_tokens", each).select("uid", F.col("c.addresses").alias("address"), F.col("c.sizes").alias("size"), (F.col("n_tokens") - F.col("c.begins") - F.col("c.sizes")).alias("tail"))
+    read = F.when(F.col("n_read") == F.col("size"), F.col("n_read")).otherwise(F.raise_error(F.lit("a chunk is missing or of another size")).cast("int"))
+    joined = used.join(sums, "address", "left").select("uid", "tail", "crc", read.alias("n_read"))
     total = joined.mapInArrow(_shifted, "uid long, crc long, n_read int").groupBy("uid").agg(F.bit_xor("crc").alias("crc"), F.sum("n_read").alias("n_read"))
     return (
         recipes.select("doc_id", "start", "n_tokens", "uid").join(total, "uid", "left")
