@@ -138,15 +138,16 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     ranged = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
     ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
     ranged = spark.read.schema(ranged.schema).parquet(f"{folder}/ranged")
+    removed(spark, f"{folder}/staged")
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     # A row for each range partition: as many as spark.sql.shuffle.partitions.
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     final = ranged.join(F.broadcast(before), "part").withColumn("start", (F.col("before") + inside).cast("long")).drop("before").withColumn("leaf", _leaf())
     final.write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    removed(spark, f"{folder}/ranged")
     _merkle(spark.read.parquet(f"{folder}/recipes"), F.col("leaf")).write.parquet(f"{folder}/manifest")
     _root(spark.read.parquet(f"{folder}/manifest")).write.parquet(f"{folder}/root")
-    removed(spark, f"{folder}/staged", f"{folder}/ranged")
 
 
 def _leaf() -> Column:
