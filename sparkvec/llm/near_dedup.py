@@ -2,16 +2,21 @@
 
 A document's set is its distinct SHINGLE-word shingles. Two collections of ITEMS hashes, each hash made of DEPTH minhashes, are
 computed once; a table's key is a pair of one hash from either, so ITEMS * ITEMS tables of 2 * DEPTH minhashes each come from
-2 * ITEMS * DEPTH minhashes. Documents with equal sets are one class. Hashes that no other class shares are dropped before
-pairs are formed, which changes no bucket with two members.
-
-Links are confirmed on the full sets. In each bucket all members are first held against its least member, so a large group
-of copies costs a link each. Where members are then still in different components, those outside the bucket's largest are
-held against HUBS members of that one, and at last, where components still differ, against all members of other components.
-No bucket is capped. This last join makes each pair in the first table that both share only: it compares 32 bits of the
-hashes before, so it misses a pair with a probability of about 1e-8. A pair of similarity s shares no bucket with probability at most 2 * (1 - s ** DEPTH) ** ITEMS.
-Pairs are first held against each other by four bits of each of the 2 * ITEMS * DEPTH minhashes: those of similarity 0.75
-agree in 92 of 120 on average, and in fewer than AGREE with a probability of about one in two million.
+2 * ITEMS * DEPTH minhashes. Documents with equal sets are one class. A pair of similarity s shares no bucket with
+probability at most 2 * (1 - s ** DEPTH) ** ITEMS, which is 3.5e-5 at 0.75.
+
+Links are confirmed on the full sets. First the ITEMS tables that pair hashes of the same number are made, and in each bucket
+all members are held against its least one, so a large group of copies costs a link each. All other tables matter only where
+they join different components: hashes that one component alone has are dropped before pairs of them are formed. In buckets
+with several components those outside the largest are held against HUBS members of that one.
+
+Classes that still share a bucket with another component are compared by their rarest shingles: with shingles in one order,
+rare ones first, two sets of n and m shingles that are similar enough share one among the first n - ceil(0.75 n) + 1 of the
+one and m - ceil(0.75 m) + 1 of the other, and what follows the first shared one is long enough. This loses no link, and
+documents with a long common passage alone don't meet, as its shingles come last. No bucket and no list is capped.
+
+Pairs found in buckets are held against each other by four bits of each of the 2 * ITEMS * DEPTH minhashes before: those of
+similarity 0.75 agree in 92 of 120 on average, and in fewer than AGREE with a probability of about one in two million.
 """
 
 from __future__ import annotations
@@ -25,16 +30,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkvec.llm import bloom
-from sparkvec.llm.common import BATCH_BYTES, join_groups, ship_code, small_batches, staged, table, text_or_empty
+from sparkvec.llm.common import BATCH_BYTES, Scratch, join_groups, ship_code, small_batches, table, text_or_empty
 from sparkvec.llm.components import components
-from sparkvec.llm.words import strings
+from sparkvec.llm.words import released, strings
 
 SHINGLE, PERCENT, ITEMS, DEPTH = 5, 75, 20, 3
 HUBS = 8
-#: The low bits of a table's key that hold the table's number.
-TABLE_BITS = (1 << (ITEMS * ITEMS - 1).bit_length()) - 1
+#: The low bits of an item's hash that hold its number.
+ITEM_BITS = (1 << (2 * ITEMS - 1).bit_length()) - 1
 #: Minhashes whose four bits must agree before full sets are compared, and the 64-bit words that hold those bits.
 AGREE, SIG_WORDS = 69, -(-2 * ITEMS * DEPTH // 16)
 
@@ -96,7 +102,7 @@ def _spread(x: np.ndarray, factor: np.uint64) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, most=BATCH_BYTES // 2):
+    for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
         if not batch.num_rows:
             continue
         sets = shingle_sets(batch.column("text"))
@@ -114,7 +120,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, most=BATCH_BYTES // 2):
+    for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
         if batch.num_rows:
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "set"])
@@ -153,113 +159,146 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have empty sets and are linked with nothing. component_id is the least id of the component; kept
     is true for each row with that id. Null ids count as larger than others, and rows that have no other id are kept.
-    Other columns are ignored; an empty table gives no rows.
+    Rows with one id and different texts are rows of their own. Texts of any length are read whole, in sets of 8 bytes a
+    shingle. Other columns are ignored; an empty table gives no rows.
     """
     ship_code(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_or_empty().alias("text"))
-    signed = staged(own.mapInArrow(_signed, "doc_id long, uid long, n long, key binary, items array<long>, sig array<long>"), "signed")
-    total = signed.count()
-    classes = staged(signed.where("n > 0").groupBy("key").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes")
-
-    # Hashes shared by two classes at least, and pairs of them as keys.
-    reps = signed.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi")
-    items = reps.select(F.col("uid").alias("cid"), "n", F.posexplode("items").alias("at", "h")).select("cid", "n", "at", F.xxhash64("at", "h").alias("h"))
-    shared = items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    left = items.join(shared, "h", "left_semi").groupBy("cid", "n").agg(F.collect_list(F.struct("at", "h")).alias("own"))  # 2 * ITEMS at most
-    pairs = left.select("cid", "n", F.expr(f"filter(own, c -> c.at < {ITEMS})").alias("a"), F.expr(f"filter(own, c -> c.at >= {ITEMS})").alias("b"))
-    keys = pairs.select("cid", "n", F.explode("a").alias("a"), "b").select("cid", "n", "a", F.explode("b").alias("b")).select("cid", "n", F.expr(f"(xxhash64(a.h, b.h) & ~{TABLE_BITS}L) | (a.at * {ITEMS} + b.at - {ITEMS})").alias("k"))
-    keys = staged(keys, "keys")
-
-    sigs = reps.select(F.col("uid").alias("cid"), "sig")
-    first = keys.groupBy("k").agg(F.min(F.struct("cid", "n")).alias("p"), F.max("cid").alias("q")).where("p.cid < q").select("k", F.col("p.cid").alias("x"), F.col("p.n").alias("nx"))
-    members = staged(keys.join(first, "k"), "members")  # of buckets with two members at least
-    tried = members.where(f"cid <> x and {_fits('nx', 'n')}").select("x", F.col("cid").alias("y")).distinct()
-    links = staged(_confirm(staged(_likely(tried, sigs), "spokes"), signed, own, total), "links")
-    roots = components(links)
-    mixed = _mixed(members, roots)
-    if mixed.take(1):
-        spokes = _hub_pairs(mixed)
-        links = links.unionByName(staged(_confirm(staged(_likely(spokes, sigs), "spokes"), signed, own, total), "links"))
-        roots = components(links)
-        bands = reps.select(F.col("uid").alias("cid"), "sig", F.expr("transform(items, h -> cast(shiftright(h, 32) as int))").alias("items"))
-        more = staged(_crossing(_mixed(members, roots), bands), "crossing")
-        if more.take(1):
-            further = staged(_confirm(more, signed, own, total), "links")
-            if further.take(1):
-                roots = components(links.unionByName(further))
-
-    named = classes.join(roots, classes["cid"] == roots["v"], "left").select("key", "size", "low", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("_of"))
-    labelled = join_groups(named, least, "root", "_of", total).select("key", "size", "component_id")
-    out = join_groups(signed.select("doc_id", "uid", "n", "key"), labelled, "key", "size", total)
-    out = out.select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-
-
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets with several components: k, cid, n, root, and dom, the component with most of the bucket's members."""
-    rooted = members.select("k", "cid", "n").join(roots, members["cid"] == roots["v"], "left").select("k", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    several = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
-    rest = staged(rooted.join(several, "k"), "rest")
-    largest = rest.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "root")).alias("m"))
-    return staged(rest.join(largest.select("k", F.col("m.root").alias("dom")), "k"), "mixed")
+    with Scratch(docs.sparkSession) as scratch:
+        stage = scratch.stage
+        signed = stage(own.mapInArrow(_signed, "doc_id long, uid long, n long, key binary, items array<long>, sig array<long>"), "signed")
+        total = signed.count()
+        classes = stage(signed.where("n > 0").groupBy("key").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes")
+        reps = stage(signed.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "n", "items", "sig"), "reps")
+        ids = stage(signed.select("doc_id", "uid", "n", "key"), "ids")
+        scratch.drop(signed)
+        sigs = reps.select("cid", "n", "sig")
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            likely = stage(_likely(pairs, sigs), "likely")
+            sets = _sets(likely.select(F.explode(F.array("x", "y")).alias("cid")).distinct(), ids, own, total, scratch)
+            links = stage(_confirm(likely, sets), "links")
+            scratch.drop(likely, sets)
+            return links
+
+        keys = reps.select("cid", F.explode(F.expr(f"transform(slice(items, 1, {ITEMS}), (a, i) -> xxhash64(a, items[{ITEMS} + i], i))")).alias("k"))
+        first = keys.groupBy("k").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("k", "x")
+        links = confirmed(keys.join(first, "k").where("cid <> x").select("x", F.col("cid").alias("y")).distinct())
+        roots = components(links, scratch)
+        mixed = _mixed(_tensored(reps, roots), roots, scratch)
+        if mixed.take(1):
+            links = links.unionByName(confirmed(_hub_pairs(mixed)))
+            roots = components(links, scratch)
+            rest = _mixed(mixed.select("k", "cid"), roots, scratch)
+            scratch.drop(mixed)
+            if rest.take(1):
+                sets = _sets(rest.select("cid").distinct(), ids, own, total, scratch)
+                pairs = stage(_rare_pairs(sets, roots, scratch), "pairs")
+                further = stage(_confirm(pairs, sets), "links")
+                scratch.drop(pairs, sets)
+                roots = components(links.unionByName(further), scratch)
+
+        named = classes.join(roots, classes["cid"] == roots["v"], "left").select("key", "size", "low", F.coalesce("root", "cid").alias("root"))
+        least = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("_of"))
+        labelled = join_groups(named, least, "root", "_of", total).select("key", "size", "component_id")
+        out = join_groups(ids, labelled, "key", "size", total)
+        out = out.select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        out = stage(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())), "near-groups")
+        scratch.keep(out)
+    return out
 
 
-def _hub_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (x, y) of up to HUBS members of each bucket's largest component, the same ones in many buckets, and each of the others."""
-    part = F.pmod(F.xxhash64("cid"), F.lit(HUBS))
-    least = [F.min(F.when(part == i, F.struct("cid", "n"))) for i in range(HUBS)]
-    hubs = mixed.where("root = dom").groupBy("k").agg(F.array(*least).alias("hubs")).select("k", F.explode("hubs").alias("hub")).where("hub is not null")
-    pairs = mixed.where("root <> dom").join(hubs.select("k", F.col("hub.cid").alias("x"), F.col("hub.n").alias("nx")), "k")
-    return pairs.where(_fits("nx", "n")).select("x", F.col("cid").alias("y")).distinct()
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with root, the component of cid; a class without links is its own."""
+    return members.join(roots, members["cid"] == roots["v"], "left").withColumn("root", F.coalesce("root", "cid")).drop("v")
 
 
-def _crossing(mixed: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs (x, y) of likely members of different components, once each: one side at least is outside the largest."""
-    full = staged(mixed.join(bands, "cid"), "banded")
-    x, y = (full.select("k", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "root", "sig", "items")), F.col("dom").alias(f"dom_{side}")) for side in "xy")
-    pairs = x.where("root_x <> dom_x").join(y, "k")
-    pairs = pairs.where(f"root_x <> root_y and (root_y = dom_y or cid_x < cid_y) and {_fits('n_x', 'n_y')} and (k & {TABLE_BITS}) = {_first_table('items_x', 'items_y')} and {_alike('sig_x', 'sig_y')}")
-    return pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"))
+def _several(members: DataFrame, key: str) -> DataFrame:
+    """The keys under which members of several components stand."""
+    return members.groupBy(key).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(key)
 
 
-def _first_table(a: str, b: str) -> str:
-    """The number of the first table in which two rows have the same key."""
+def _tensored(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k, cid): the keys of all tables, pairs of a hash of either collection, from hashes that several components have. If
+    two classes of different components share a key, they share both hashes, so no such bucket is lost."""
+    items = _rooted(reps.select("cid", "items"), roots).select("cid", "root", F.posexplode("items").alias("at", "h")).select("cid", "root", F.expr(f"(xxhash64(at, h) & ~{ITEM_BITS}L) | at").alias("h"))
+    left = items.join(_several(items, "h"), "h", "left_semi").groupBy("cid").agg(F.collect_list("h").alias("own"))  # 2 * ITEMS at most
+    pairs = left.select("cid", F.expr(f"filter(own, h -> (h & {ITEM_BITS}) < {ITEMS})").alias("a"), F.expr(f"filter(own, h -> (h & {ITEM_BITS}) >= {ITEMS})").alias("b"))
+    return pairs.select("cid", F.explode("a").alias("a"), "b").select("cid", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("k"), "cid")
 
-    def first(start: int) -> str:
-        return "case " + " ".join(f"when {a}[{start + i}] = {b}[{start + i}] then {i}" for i in range(ITEMS)) + " end"
 
-    return f"{ITEMS} * {first(0)} + {first(ITEMS)}"
+def _mixed(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (k, cid) of buckets with several components: k, cid, root, and dom, the component with most of the bucket's members."""
+    rooted = scratch.stage(_rooted(members, roots), "rooted")
+    rest = rooted.join(_several(rooted, "k"), "k", "left_semi")
+    largest = rest.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "root")).alias("m"))
+    mixed = scratch.stage(rest.join(largest.select("k", F.col("m.root").alias("dom")), "k"), "mixed")
+    scratch.drop(rooted)
+    return mixed
 
 
-def _full_sets(own: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
-    """(cid, set) of wanted (doc_id, cid, key), made again from the texts. A Bloom filter of the ids lets most other rows go."""
+def _hub_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (x, y) of up to HUBS members of each bucket's largest component, the same ones in many buckets, and each of the others."""
+    part = F.pmod(F.xxhash64("cid"), F.lit(HUBS))
+    least = [F.min(F.when(part == i, F.col("cid"))) for i in range(HUBS)]
+    hubs = mixed.where("root = dom").groupBy("k").agg(F.array(*least).alias("hubs")).select("k", F.explode("hubs").alias("x")).where("x is not null")
+    return mixed.where("root <> dom").select("k", F.col("cid").alias("y")).join(hubs, "k").select("x", "y").distinct()
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, n, h) for each shingle of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("set")]
+        for at in range(0, len(sets), 256):
+            own = sets[at : at + 256]
+            sizes = np.array(list(map(len, own)))
+            cids = batch.column("cid").to_numpy()[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], ["cid", "n", "h"])
+
+
+def _rare_pairs(sets: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y) of different components that share one of their rarest shingles, early enough in both; all similar
+    pairs are among them. Pairs inside the largest component of a shingle's list aren't made."""
+    every = scratch.stage(sets.mapInArrow(_shingles, "cid long, n long, h long"), "shingles")
+    times = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Shingles that one set alone has come first in the order and meet nothing.
+    counted = join_groups(every, scratch.stage(times, "times"), "h", "c", every.count()).withColumn("c", F.coalesce("c", F.lit(1)))
+    ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy("cid").orderBy("c", "h"))).where(f"i <= n - (n * {PERCENT} + 99) div 100 + 1 and c > 1")
+    early = _mixed(ranked.select("cid", "n", "i", F.col("h").alias("k")), roots, scratch)
+    x, y = (early.select("k", "dom", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "i", "root"))) for side in "xy")
+    enough = f"least(n_x - i_x, n_y - i_y) + 1 >= ({PERCENT} * (n_x + n_y) + {99 + PERCENT}) div {100 + PERCENT}"
+    met = x.where("root_x <> dom").join(y.drop("dom"), "k").where(f"root_x <> root_y and (root_y = dom or cid_x < cid_y) and {_fits('n_x', 'n_y')} and {enough}")
+    return met.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y")).distinct()
+
+
+def _sets(members: DataFrame, ids: DataFrame, own: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """(cid, set) of members (cid), made again from the texts. A Bloom filter of the ids lets most other rows go."""
+    wanted = scratch.stage(ids.select("doc_id", F.col("uid").alias("cid"), "key").join(members, "cid", "left_semi"), "wanted")
     bits = bloom.filter_bits(max(1, total // 4))
     likely = bloom.mark_repeated(own, bloom.member_words(wanted, "doc_id", bits), "doc_id", bits, "_maybe").where("_maybe").select("doc_id", "text")
     made = likely.mapInArrow(_sets_of, "doc_id long, key binary, set binary").withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
     joined = wanted.join(made, (wanted["key"] == made["_key"]) & wanted["doc_id"].eqNullSafe(made["_id"]))
-    return joined.select("cid", "set").dropDuplicates(["cid"])
+    out = scratch.stage(joined.select("cid", "set").dropDuplicates(["cid"]), "sets")
+    scratch.drop(wanted)
+    return out
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose minhashes agree often enough."""
-    a, b = (sigs.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
-    return pairs.join(b, "y").join(a, "x").where(_alike("sx", "sy")).select("x", "y")
+    """The pairs (x, y) whose sizes allow the similarity and whose minhashes agree often enough."""
+    a, b = (sigs.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "xy")
+    return pairs.join(b, "y").join(a, "x").where(f"{_fits('nx', 'ny')} and {_alike('sx', 'sy')}").select("x", "y")
 
 
-def _confirm(pairs: DataFrame, signed: DataFrame, own: DataFrame, total: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough."""
-    members = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
-    wanted = signed.select("doc_id", F.col("uid").alias("cid"), "key").join(members, "cid", "left_semi")
-    sets = staged(_full_sets(own, staged(wanted, "wanted"), total), "sets")
     x, y = (sets.select(F.col("cid").alias(c), F.col("set").alias(f"set_{c}")) for c in "xy")
     return pairs.join(y, "y").join(x, "x").select("x", "y", "set_x", "set_y").mapInArrow(_confirmed(PERCENT), "x long, y long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each component, and all with empty sets. All columns are kept. Rows that share
-    an id stay together if one of them stays."""
-    marks = staged(near_groups(docs).select("doc_id", "kept"), "marks")
+    """The rows of docs that stay: one of each component, and all with empty sets. All columns are kept, whatever their
+    names. Rows that share an id stay together if one of them stays; rows without an id stay. No rows give none."""
+    marks = near_groups(docs)
     gone = marks.groupBy("doc_id").agg(F.max("kept").alias("k")).where("not k").select("doc_id")
     return bloom.without_ids(docs, gone, marks.count())
 
