@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import ship_code, small_batches, table, text_or_empty
-from sparkvec.llm.words import PieceCache, byte_symbols, split_batch, strings
+from sparkvec.llm.words import PieceCache, byte_symbols, released, split_batch, strings
 
 _MACHINES: dict[str, WordAutomaton] = {}
 
@@ -156,7 +156,7 @@ def _digests(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(path)
-        for batch in small_batches(batches):
+        for batch in released(small_batches(batches)):
             if not batch.num_rows:
                 continue
             index, bounds, distinct = split_batch(batch.column("text"))
@@ -184,7 +184,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(path)
-        for batch in small_batches(batches):
+        for batch in released(small_batches(batches)):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     ship_code(docs.sparkSession)

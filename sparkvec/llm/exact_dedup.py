@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm import bloom
-from sparkvec.llm.common import join_groups, staged, table, text_or_empty
+from sparkvec.llm.common import join_groups, staged, table, text_or_empty, unused
 
 
 def normalised(text: Column) -> Column:
@@ -49,20 +49,28 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. A filter of the repeated digests lets rows that nothing repeats
-    pass without a shuffle; of rows that also share the id, one stays."""
-    marks = group_exact(docs)
-    groups = staged(marks.where("not kept").groupBy(F.unhex("text_sha256").alias("_digest")).agg(F.first("keep_id").alias("_keep"), F.first("group_size").alias("_size")), "groups")
-    n = groups.count()
-    bits = bloom.filter_bits(n)
-    own = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text_or_empty()), 256)))
-    marked = bloom.mark_repeated(own, bloom.member_words(groups, "_digest", bits), "_digest", bits, "_maybe")
-    # hot groups have as many rows as a share of all rows that are in groups
-    named = join_groups(marked.where("_maybe"), groups, "_digest", "_size", groups.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
-    stays = named.where(F.col("_size").isNull())
-    first = named.where(F.col("_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_digest"])
-    kept = [x.select(*docs.columns) for x in (marked.where("not _maybe"), stays, first)]
-    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+    """The rows of docs that stay, with all their columns, whatever their names: of equal texts that with the least id; of
+    rows that also share the id, one. Null texts count as empty, a null id as larger than any other; no rows give none.
+
+    A filter of the repeated digests lets rows that nothing repeats pass without a shuffle; of the others each task sends
+    one row of each text.
+    """
+    row, digest, maybe = unused(docs.columns, "_row", "_digest", "_maybe")
+    made = F.unhex(F.sha2(normalised(text_or_empty()), 256))
+    digests = staged(docs.select(made.alias("digest")), "digests")
+    total = digests.count()
+    shards, groups = bloom.shard_count(total), None
+    bits = bloom.filter_bits(-(-total // shards))
+    for s in range(shards):
+        own = digests if shards == 1 else digests.where(F.pmod(F.xxhash64("digest"), F.lit(shards)) == s)
+        found = bloom.mark_repeated(own, bloom.repeated_words(own, "digest", bits), "digest", bits, "maybe").where("maybe").groupBy("digest").count().where("count > 1").select("digest")
+        groups = found if groups is None else groups.unionByName(found)
+    repeated = staged(groups, "repeated")
+    bits = bloom.filter_bits(repeated.count())
+    marked = bloom.mark_repeated(docs.withColumn(digest, made), bloom.member_words(repeated, "digest", bits), digest, bits, maybe)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = marked.where(F.col(maybe)).groupBy(digest).agg(F.min_by(F.struct(*columns), F.struct(F.col("doc_id").isNull(), "doc_id")).alias(row))
+    return marked.where(~F.col(maybe)).select(*columns).unionByName(first.select(f"{row}.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from sparkvec.llm.common import BATCH_BYTES, ship_code, small_batches, table, text_or_empty
 from sparkvec.llm.labelled import held_out, sample
-from sparkvec.llm.words import split_batch
+from sparkvec.llm.words import released, split_batch
 
 PASSAGE, THRESHOLD = 64, 0.3
 #: Bytes counted in each word: upper case, lower case, digits, white space, parts of other letters, and single marks.
@@ -138,7 +138,7 @@ class AttentionPool:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, most=BATCH_BYTES // 4):
+    for batch in released(small_batches(batches, most=BATCH_BYTES // 4)):
         if batch.num_rows:
             x, ends = encode_passages(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "label", "bag"])
@@ -161,14 +161,17 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionPool | float:
 
 
 def score_quality(docs: DataFrame, model: AttentionPool | float, out: str = "score") -> DataFrame:
-    """docs with out, a double from 0 to 1: how likely label 1 is. Null and empty texts are bags of one empty passage.
-    Rows are independent; all columns are kept, whatever their names, but one named as out is replaced."""
+    """docs with out, a double from 0 to 1: how likely label 1 is. Null and empty texts are bags of one empty passage, long
+    ones bags of as many passages as they have. Rows are independent, repeated ones are scored each; all columns are kept,
+    whatever their names, but one named as out is replaced. No rows give none."""
     ship_code(docs.sparkSession)
-    kept = docs.drop(out)
-    packed = kept.select(text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"))
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    place = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, most=BATCH_BYTES // 4):
+        with_text = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field(place)], ["row", "text"]) for b in batches)
+        for batch in released(small_batches(with_text, most=BATCH_BYTES // 4)):
             if batch.num_rows:
                 y = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(*encode_passages(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(y.astype(np.float64))], ["row", "score"])

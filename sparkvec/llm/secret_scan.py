@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import table, text_or_empty
+from sparkvec.llm.common import table, text_or_empty, unused
 
 #: The labelled findings are made by these rules, `case`s of LABELLED_ROWS rows by row number. Each gives
 #: the two words before, the word itself with {h} for hexadecimal and {m} for mixed random characters, and the label.
@@ -158,32 +158,39 @@ def _judged(tree, c: Column) -> Column:
 def with_findings(docs: DataFrame, threshold: float = 0.5, out: str = "_found") -> DataFrame:
     """docs with out: an array, in text order, of structs (value, score, secret) of the candidates in text.
 
-    Null and empty texts give empty arrays; rows are independent, so ties and repeated rows need no rule. Other columns
-    are kept; one named as out is replaced.
+    Null and empty texts give empty arrays; rows are independent, so ties and repeated rows need no rule, and a text of any
+    length is read whole, in its own row. Other columns are kept, whatever their names; one named as out is replaced. No
+    rows give none.
     """
     trees = forest(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    row, words, index, raw, told, scored = unused(["text", out], "_row", "_words", "_at", "_raw", "_told", "_scored")
     at = lambda words, i: F.when(i >= 0, F.get(words, i)).otherwise(F.lit(""))
-    words, index = F.col("_words"), F.col("_at")
-    split = docs.withColumn("_words", F.split(text_or_empty(), r"\s+"))
-    found = split.withColumn("_at", F.filter(F.transform(words, lambda w, i: F.when(_likely(w), i).otherwise(-1)), lambda i: i >= 0))
-    raw = found.withColumn("_raw", F.flatten(F.transform(index, lambda i: candidates(F.get(words, i), at(words, i - 1), at(words, i - 2))))).drop("_words", "_at")
-    told = raw.withColumn("_told", F.transform("_raw", lambda c: F.struct(c["value"].alias("value"), *(x.alias(k) for k, x in described(*(c[k] for k in _FIELDS)).items()))))
     total = lambda c: sum((_judged(t, c) for t in trees[1:]), _judged(trees[0], c)) / len(trees)
-    scored = told.drop("_raw").withColumn("_scored", F.transform("_told", lambda c: F.struct(c["value"].alias("value"), total(c).alias("score"))))
-    return scored.drop("_told").withColumn(out, F.transform("_scored", lambda c: F.struct(c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= threshold).alias("secret")))).drop("_scored")
+    split = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias(row), F.split(text_or_empty(), r"\s+").alias(words))
+    found = split.withColumn(index, F.filter(F.transform(words, lambda w, i: F.when(_likely(w), i).otherwise(-1)), lambda i: i >= 0))
+    one = lambda i: candidates(F.get(F.col(words), i), at(F.col(words), i - 1), at(F.col(words), i - 2))
+    raws = found.select(row, F.flatten(F.transform(index, one)).alias(raw))
+    tells = raws.select(row, F.transform(raw, lambda c: F.struct(c["value"].alias("value"), *(x.alias(k) for k, x in described(*(c[k] for k in _FIELDS)).items()))).alias(told))
+    scores = tells.select(row, F.transform(told, lambda c: F.struct(c["value"].alias("value"), total(c).alias("score"))).alias(scored))
+    verdict = F.transform(scored, lambda c: F.struct(c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= threshold).alias("secret")))
+    return scores.select(f"{row}.*", verdict.alias(out))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret in text replaced by mark; n_chars, where docs has it, follows. Null texts stay null."""
+    """docs with each secret in text replaced by mark; n_chars, where docs has it, follows. Null texts stay null, empty ones
+    empty; rows are independent; all columns are kept, whatever their names; no rows give none."""
+    found, secrets = unused(docs.columns, "_found", "_secrets")
     # Longest first: one that is part of another must not leave the rest of that one in the text.
-    longest = "array_sort(array_distinct(transform(filter(_found, c -> c.secret), c -> c.value)), (a, b) -> length(b) - length(a))"
-    found = with_findings(docs).withColumn("_secrets", F.expr(longest))
-    changed = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    out = found.withColumn("text", F.when(F.size("_secrets") > 0, changed).otherwise(F.col("text")))
+    values = F.array_distinct(F.transform(F.filter(found, lambda c: c["secret"]), lambda c: c["value"]))
+    longest = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    marked = with_findings(docs, out=found).withColumn(secrets, longest)
+    changed = F.aggregate(secrets, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
+    out = marked.withColumn("text", F.when(F.size(secrets) > 0, changed).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(secrets) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

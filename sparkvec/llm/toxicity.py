@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.llm.common import BATCH_BYTES, ship_code, small_batches, table, text_or_empty
 from sparkvec.llm.labelled import held_out, sample
-from sparkvec.llm.words import PieceCache, split_batch, strings
+from sparkvec.llm.words import PieceCache, released, split_batch, strings
 
 #: The letters that digits and marks may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -66,7 +66,7 @@ def byte_codes() -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, total = byte_codes(), np.zeros(_SYMBOLS**3, np.int64)
-    for batch in small_batches(batches, most=BATCH_BYTES // 2):
+    for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
         column = batch.column("text").cast(pa.large_string())
         ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = codes[np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
@@ -288,7 +288,7 @@ class _KnownOnly(Restorer):
 def _sampled(characters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(characters)
-        for batch in small_batches(batches, most=BATCH_BYTES // 2):
+        for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
             found: list[set[int]] = [set() for _ in range(batch.num_rows)]
             for text, features in restorer.text_features(batch.column("text")) if batch.num_rows else ():
                 found[text].update(features)
@@ -343,7 +343,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _KnownOnly(model.characters, model.weights)
-        for batch in small_batches(batches, most=BATCH_BYTES // 2):
+        for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(batch.column("text"), restorer))], ["doc_id", "score"])
 
