@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.llm.common import BATCH_BYTES, ship_code, small_batches, table, text_or_empty
 from sparkvec.llm.labelled import held_out, sample
-from sparkvec.llm.words import PieceCache, released, split_batch, strings
+from sparkvec.llm.words import PieceCache, large, released, split_batch, strings
 
 #: The letters that digits and marks may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -44,6 +44,9 @@ _LOOKS = re.compile(f"[a-z{re.escape(''.join(LOOKS_LIKE))}]")
 _BETWEEN = re.compile(f"[{re.escape(BETWEEN)}]+")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTERS = re.compile("[a-z]+")
+#: Accents as characters of their own, and words of letters with idle marks around them.
+_ACCENTS = r"[\x{300}-\x{34E}\x{350}-\x{36F}]"
+_LETTERS_IN_MARKS = f"^[{re.escape(_IDLE)}]*[a-z]+[{re.escape(_IDLE)}]*$"
 _SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]+"
 #: Characters of a piece with signs that may be part of a word set apart by spaces; pieces of a lattice at most, and how
 #: many of them the next one has too.
@@ -182,9 +185,21 @@ class Restorer:
         for w in words:
             if len(w) > 2:
                 found.append(zlib.crc32(w.encode()))
-                found += [zlib.crc32(w[:k].encode(), 1) for k in (4, 5, 6) if len(w) > k]
+                found += [zlib.crc32(w[:k].encode() + b"*") for k in (4, 5, 6) if len(w) > k]
         return tuple(found)
 
+    def told(self, distinct: pa.Array) -> tuple[list, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Of each piece: its features, the first and last of its shape, what is left of it without marks at its ends, and
+        whether a word that begins with it may have a feature."""
+        pieces = strings(distinct)
+        shapes = self.shapes.get(pieces)
+        heads, tails = (np.array([x[k] for x in shapes], np.int64) for k in (0, 1))
+        return self.cache.get(pieces), heads, tails, [x[2] for x in shapes], np.ones(len(pieces), np.bool_)
+
+    def may_begin(self, letters: str, places: list[int]) -> bool:
+        """Whether a word that begins at one of the places may have a feature."""
+        return True
+
     def features(self, piece: str) -> tuple[int, ...]:
         return self.hashes(self.words(piece))
 
@@ -207,27 +222,25 @@ class Restorer:
         more than once."""
         texts = pc.replace_substring_regex(texts.cast(pa.large_string()), _SPACE, " ")
         index, bounds, distinct = split_batch(texts)
-        pieces = strings(distinct)
-        found = self.cache.get(pieces)
-        keep = np.array([bool(x) for x in found])
+        found, heads, tails, bares, begins = self.told(distinct)
+        keep = np.fromiter(map(bool, found), np.bool_, len(found))
         of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         pairs = np.unique(of[keep[index]] * len(found) + index[keep[index]])
         for k in pairs.tolist():
             yield k // len(found), found[k % len(found)]
-        shapes = self.shapes.get(pieces)
-        heads, tails = (np.array([x[k] for x in shapes], np.int64)[index] for k in (0, 1))
-        for text, words in self._chains(index, bounds, of, shapes, heads, tails):
+        for text, words in self._chains(index, bounds, of, bares, heads[index], tails[index], begins[index]):
             if features := self.hashes(words):
                 yield text, features
 
-    def _chains(self, index, bounds, of, shapes, heads, tails) -> Iterator[tuple[int, list[str]]]:
-        bare = lambda a, b: [shapes[i][2] for i in index[a:b].tolist()]
+    def _chains(self, index, bounds, of, bares, heads, tails, begins) -> Iterator[tuple[int, list[str]]]:
+        bare = lambda a, b: [bares[i] for i in index[a:b].tolist()]
         link = (tails[:-1] >= 0) & (heads[1:] >= 0) & (of[:-1] == of[1:])
         link[link] = self.joined[tails[:-1][link], heads[1:][link]]
+        known = np.concatenate([[0], np.cumsum(begins)])
         for a, b in _runs(link):  # pieces a to b, which are at least two
-            letters = bare(a, b + 1)
-            yield int(of[a]), ["".join(letters), *("".join(x) for x in zip(letters, letters[1:], strict=False) if len(letters) > 2)]
-        link = link.tolist()
+            if known[b] > known[a]:
+                letters = bare(a, b + 1)
+                yield int(of[a]), ["".join(letters), *("".join(x) for x in zip(letters, letters[1:], strict=False) if len(letters) > 2)]
         for start, stop in _runs(heads == -2):
             while start < stop:  # a run may go over the end of a text
                 low, high = int(bounds[of[start]]), int(bounds[of[start] + 1])
@@ -241,9 +254,14 @@ class Restorer:
                     right += 1
                     while right < high and link[right - 1]:
                         right += 1
-                before, after = "".join(bare(left, start)), "".join(bare(end, right))
                 own = bare(start, end)
-                for k in range(0, len(own), WINDOW - OVERLAP):
+                before = "".join(bare(left, start))
+                after = "".join(bare(end, right))
+                if all(len(x) == 1 and "a" <= x <= "z" for x in own):
+                    wanted = self.may_begin(before + "".join(own) + after, [0, *range(len(before), len(before) + len(own))])
+                else:
+                    wanted = True
+                for k in range(0, len(own) if wanted else 0, WINDOW - OVERLAP):
                     here = own[k : k + WINDOW]
                     a, b = before if k == 0 else "", after if k + WINDOW >= len(own) else ""
                     if len(here) + bool(a) + bool(b) > 1:
@@ -263,36 +281,136 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def collapsed(word: str) -> str:
+    """Each run of one letter as that letter."""
+    return "".join(c for c, before in zip(word, "\0" + word, strict=False) if c != before)
+
+
+def beginning(word: str) -> int:
+    """The first three letters as a number; what is missing counts as 26. -1 with other characters than a to z."""
+    n = 0
+    for k in range(3):
+        c = ord(word[k]) - 97 if k < len(word) else 26
+        if k < len(word) and not 0 <= c < 26:
+            return -1
+        n = n * 27 + c
+    return n
+
+
 class ToxicityModel:
-    def __init__(self, characters: np.ndarray, weights: dict[int, float], bias: float):
-        self.characters, self.weights, self.bias = characters, weights, bias
+    """characters: the character model; weights of features by hash, begins: beginning() of each feature's word and of what
+    is left of it when collapsed."""
+
+    def __init__(self, characters: np.ndarray, weights: dict[int, float], bias: float, begins: list[tuple[int, int]] = ()):
+        self.characters, self.weights, self.bias, self.begins = characters, weights, bias, begins
 
     def score(self, texts: pa.Array, restorer: Restorer) -> np.ndarray:
         found: list[set[int]] = [set() for _ in range(len(texts))]
         for text, features in restorer.text_features(texts):
             found[text].update(features)
-        return np.array([1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in own), -30, 30))) for own in found])
+        return np.array([1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in sorted(own)), -30, 30))) for own in found])
 
 
 class _KnownOnly(Restorer):
-    """Keeps the features that have a weight only."""
+    """Finds the features that have a weight only. A word of letters from a to z has none unless it begins as one of their
+    words does, or would with doubled letters taken out; so most words need no decoding, and are told by their bytes."""
+
+    def __init__(self, model: ToxicityModel):
+        self.weights = model.weights
+        super().__init__(model.characters)
+        self.plain, self.runs = (np.zeros(27**3, np.bool_) for _ in range(2))
+        for word, run in model.begins:
+            self.plain[[word, word // 27 * 27 + 26, word // 729 * 729 + 728]] = True  # shorter pieces may be joined to others
+            a, b, c = run // 729, run // 27 % 27, run % 27
+            self.runs.reshape(27, 27, 27)[a, b if b < 26 else slice(None), c if c < 26 else slice(None)] = True
+            self.runs[[run, run // 27 * 27 + 26, run // 729 * 729 + 728]] = True
+
+    def hashes(self, words: list[str]) -> tuple[int, ...]:
+        return tuple(f for f in super().hashes(words) if f in self.weights)
 
-    def __init__(self, model: np.ndarray, weights: dict[int, float]):
-        self.weights = weights
+    def may_begin(self, letters: str, places: list[int]) -> bool:
+        return any(self.runs[beginning(collapsed(letters[p : p + 64])[:3])] for p in places)
+
+    def told(self, distinct: pa.Array) -> tuple[list, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        n = len(distinct)
+        foreign = np.flatnonzero(~np.asarray(pc.string_is_ascii(distinct)))
+        lower = pc.ascii_lower(distinct)
+        if len(foreign):
+            decomposed = pc.utf8_normalize(pc.utf8_lower(distinct.take(pa.array(foreign))), "NFKD")
+            mask = np.zeros(n, np.bool_)
+            mask[foreign] = True
+            lower = pc.replace_with_mask(lower, pa.array(mask), pc.replace_substring_regex(decomposed, _ACCENTS, ""))
+        letters = np.asarray(pc.match_substring_regex(lower, _LETTERS_IN_MARKS))
+        simple, others = np.flatnonzero(letters), np.flatnonzero(~letters)
+        found: list = [()] * n
+        heads, tails, begins = np.full(n, -1), np.full(n, -1), np.zeros(n, np.bool_)
+        bares: list = [""] * n
+        if len(others):
+            pieces = strings(distinct.take(pa.array(others)))
+            for i, features, shape in zip(others.tolist(), self.cache.get(pieces), self.shapes.get(pieces), strict=True):
+                found[i] = features
+                heads[i], tails[i], bares[i] = shape
+        if len(simple):
+            own = lower.take(pa.array(simple))
+            cores = pc.utf8_trim(own, _IDLE)
+            ends, data = large(cores)
+            size, data = np.diff(ends), np.frombuffer(data, np.uint8).astype(np.int64) - 97
+            first, last = data[ends[:-1]] * 26 + data[np.minimum(ends[:-1] + 1, len(data) - 1)], data[np.maximum(ends[1:] - 2, 0)] * 26 + data[ends[1:] - 1]
+            starts = np.asarray(pc.match_substring_regex(own, "^[a-z]"))
+            stops = np.asarray(pc.match_substring_regex(own, "[a-z]$"))
+            heads[simple] = np.where(size == 1, -2, np.where(starts, first, -1))
+            tails[simple] = np.where(size == 1, -2, np.where(stops, last, -1))
+            changes = np.ones(len(data), np.bool_)
+            changes[1:] = data[1:] != data[:-1]
+            changes[ends[:-1]] = True
+            kept = np.concatenate([[0], np.cumsum(changes)])[ends]
+            wanted = self.plain[_beginnings(data, ends)]
+            begins[simple] = wanted
+            doubled = np.diff(kept) < size
+            wanted = wanted | doubled & self.runs[_beginnings(data[changes], kept)]
+            for i, b in zip(simple.tolist(), strings(cores), strict=True):
+                bares[i] = b
+            hit = simple[wanted].tolist()
+            for i, features in zip(hit, self.cache.get(strings(distinct.take(pa.array(hit, pa.int64())))), strict=True):
+                found[i] = features
+        return found, heads, tails, bares, begins
+
+
+def _beginnings(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """beginning() of words given as numbers of letters from 0."""
+    n = np.zeros(len(ends) - 1, np.int64)
+    for k in range(3):
+        at = ends[:-1] + k
+        n = n * 27 + np.where(at < ends[1:], data[np.minimum(at, len(data) - 1)], 26)
+    return n
+
+
+class _Noting(Restorer):
+    """Notes for each feature how its word begins."""
+
+    def __init__(self, model: np.ndarray):
         super().__init__(model)
+        self.begins: dict[int, int] = {}
 
     def hashes(self, words: list[str]) -> tuple[int, ...]:
-        return tuple(f for f in super().hashes(words) if f in self.weights)
+        found = super().hashes(words)
+        for w in words:
+            for f, own in ((zlib.crc32(w.encode()), w), *((zlib.crc32(w[:k].encode() + b"*"), w[:k]) for k in (4, 5, 6) if len(w) > k)):
+                if len(w) > 2 and f not in self.begins:
+                    a, b = beginning(own), beginning(collapsed(own))
+                    self.begins[f] = a << 15 | b if a >= 0 and b >= 0 else -1
+        return found
 
 
 def _sampled(characters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(characters)
         for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
+            restorer = _Noting(characters)
             found: list[set[int]] = [set() for _ in range(batch.num_rows)]
             for text, features in restorer.text_features(batch.column("text")) if batch.num_rows else ():
                 found[text].update(features)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([np.array(sorted(x), "<u4").tobytes() for x in found], pa.binary())], ["doc_id", "label", "features"])
+            begins = [np.array([restorer.begins[f] for f in sorted(x)], "<i4").tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([np.array(sorted(x), "<u4").tobytes() for x in found], pa.binary()), pa.array(begins, pa.binary())], ["doc_id", "label", "features", "begins"])
 
     return run
 
@@ -304,9 +422,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows, shares = sample(docs, labels, "toxic")
     if len(shares) < 2:
         return ToxicityModel(characters, {}, 30.0 * (2 * next(iter(shares), 0) - 1))
-    found = sorted(rows.select("doc_id", text_or_empty().alias("text"), "_label").mapInArrow(_sampled(characters), "doc_id long, label int, features binary").collect())
+    found = sorted(rows.select("doc_id", text_or_empty().alias("text"), "_label").mapInArrow(_sampled(characters), "doc_id long, label int, features binary, begins binary").collect())
     y = np.array([r["label"] for r in found])
     sets = [np.frombuffer(r["features"], "<u4") for r in found]
+    begins = {f: b for r, s in zip(found, sets, strict=True) if r["label"] == 1 for f, b in zip(s.tolist(), np.frombuffer(r["begins"], "<i4").tolist(), strict=True)}
     counts = []
     for k in (0, 1):
         own = [s for s, label in zip(sets, y, strict=True) if label == k]
@@ -333,7 +452,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         slope = x.T @ ((p - y) * weight) + ridge * w
         w -= np.linalg.solve((x * (np.maximum(p * (1 - p), 1e-6) * weight)[:, None]).T @ x + np.diag(ridge), slope)
     b = w[-1]
-    return ToxicityModel(characters, {f: float(w[k]) for f, k in place.items()}, float(b))
+    known = [(begins[f] >> 15, begins[f] & 32767) for f in chosen if begins[f] >= 0]
+    return ToxicityModel(characters, {f: float(w[k]) for f, k in place.items()}, float(b), known)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -342,7 +462,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _KnownOnly(model.characters, model.weights)
+        restorer = _KnownOnly(model)
         for batch in released(small_batches(batches, most=BATCH_BYTES // 2)):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(batch.column("text"), restorer))], ["doc_id", "score"])
