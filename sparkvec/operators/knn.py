@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkvec.errors import InvalidArgument
-from sparkvec.functions.distance import metric
+from sparkvec.errors import DimensionMismatch, InvalidArgument
+from sparkvec.functions.distance import metric, same_length
+from sparkvec.plans.saved import saved
 
 #: Queries sent to the executors at once, and rows of vectors that a worker scores at once.
 QUERY_BLOCK, ROW_BLOCK = 4096, 2048
 NEIGHBORS = "qid long, vec_id long, distance double"
+RANKED = "qid long, rank long, vec_id long, distance double"
 
 
 def nearest(vectors: DataFrame, q: list[float], k: int, by: str = "l2") -> DataFrame:
     """(vec_id, distance) of the k nearest to one query: a bounded top-k in each task, then one of theirs."""
     own = F.array(*[F.lit(float(x)) for x in q])
-    return vectors.select("vec_id", metric(by)(own, F.col("embedding")).alias("distance")).orderBy("distance", "vec_id").limit(k)
+    return vectors.where(same_length(own, F.col("embedding"))).select("vec_id", metric(by)(own, F.col("embedding")).alias("distance")).orderBy("distance", "vec_id").limit(k)
 
 
 def fold(x: np.ndarray) -> np.ndarray:
@@ -50,10 +53,14 @@ def rough_distances(q: np.ndarray, v: np.ndarray, by: str) -> np.ndarray:
     return np.where(norms == 0, 1.0, 1 - dots / np.where(norms == 0, 1, norms))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """An array<float> column of equal lengths as a matrix of doubles."""
+def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """An array<float> column as a matrix of doubles; an error where a length isn't width, or not that of the first."""
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    width = width if width is not None else int(sizes[0]) if n else 0
+    if (sizes != width).any():
+        raise DimensionMismatch(f"vectors must have {width} dimensions")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width)
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, k: int, by: str):
@@ -62,7 +69,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, k: int, by: str):
         for whole in batches:
             for at in range(0, whole.num_rows, ROW_BLOCK):
                 batch = whole.slice(at, ROW_BLOCK)
-                v, own = matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(zero_copy_only=False)
+                v, own = matrix(batch.column("embedding"), queries.shape[1]), batch.column("vec_id").to_numpy(zero_copy_only=False)
                 rough = rough_distances(queries, v, by)
                 slack = 1e-9 * (1 + np.abs(rough).max())
                 cut = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack if len(own) > k else np.full(len(ids), np.inf)
@@ -79,7 +86,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, k: int, by: str):
 
 
 def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of queries, QUERY_BLOCK at a time; a block is all that the driver holds."""
+    """Ids and vectors of queries, QUERY_BLOCK at a time."""
     ids, rows = [], []
     for r in queries.select("qid", "q").toLocalIterator():
         ids.append(r["qid"])
@@ -91,8 +98,22 @@ def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(ids, np.int64), np.array(rows, np.float64)
 
 
+def by_block(queries: DataFrame, search: Callable[[np.ndarray, np.ndarray], DataFrame], schema: str) -> DataFrame:
+    """What search gives for all queries. One block is left to be run; of several each is run and written before the next
+    is read, so the driver holds two blocks at most, however many queries there are."""
+    found, held = None, None
+    for block in blocks(queries):
+        if held is not None:
+            own = saved(search(*held), "block")
+            found = own if found is None else found.unionByName(own)
+        held = block
+    if held is None:
+        return queries.sparkSession.createDataFrame([], schema)
+    return search(*held) if found is None else found.unionByName(saved(search(*held), "block"))
+
+
 def merge_top(found: DataFrame, k: int) -> DataFrame:
-    """(qid, rank from 1, vec_id, distance): the k nearest of what the tasks found, ties by id."""
+    """(qid, rank from 1, vec_id, distance): the k nearest of what the tasks found, ties by id. Each task sends k rows a query."""
     w = Window.partitionBy("qid").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "distance")
 
@@ -105,10 +126,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, by: str = "l2") -> DataF
     metric(by)
     if k < 0:
         raise InvalidArgument("k must not be negative")
-    found = vectors.sparkSession.createDataFrame([], NEIGHBORS)
-    for ids, q in blocks(queries) if k else ():
-        found = found.unionByName(vectors.select("vec_id", "embedding").mapInArrow(_scan(ids, q, k, by), NEIGHBORS))
-    return merge_top(found, k)
+    if not k:
+        return merge_top(vectors.sparkSession.createDataFrame([], NEIGHBORS), k)
+    return by_block(queries, lambda ids, q: merge_top(vectors.select("vec_id", "embedding").mapInArrow(_scan(ids, q, k, by), NEIGHBORS), k), RANKED)
 
 
 def padded(neighbors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

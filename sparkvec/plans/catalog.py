@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions import distance as dist
 from sparkvec.operators import hnsw, knn, pq
-from sparkvec.sources.store import assign_ids
-from sparkvec.sources.synthetic import by_id, clusters
+from sparkvec.plans.saved import folder, saved
+from sparkvec.sources.store import VectorStore, assign_ids
+from sparkvec.sources.synthetic import BY_ID, BY_PLACE, DROPPED, by_id, clusters
 from sparkvec.streaming import ingest
 
 K, M, SHARDS, EF = 10, 8, 4, 128
@@ -77,6 +78,7 @@ def _knn(k: int, by: str = "l2") -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _padded(spark: SparkSession, d: str) -> DataFrame:
+    """Searches one label's vectors, as padding shows only where there are fewer than k."""
     v = vectors(spark, d)
     n = knn.knn(v.where("label = 0"), asked(v), K * 10)
     return knn.padded(n, asked(v), K * 10)
@@ -84,8 +86,7 @@ def _padded(spark: SparkSession, d: str) -> DataFrame:
 
 def _knn_exceeds(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    n = v.groupBy("label").count().agg(F.max("count")).first()[0]
-    return knn.knn(v.where("label = 0"), asked(v), n + 1)
+    return knn.knn(v, asked(v), v.count() + 1)
 
 
 def _append(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +94,55 @@ def _append(spark: SparkSession, d: str) -> DataFrame:
     return assign_ids(v.select(F.col("vec_id").alias("ord"), "label"), "ord", v.count()).select("ord", "label", "vec_id")
 
 
+def _stored(spark: SparkSession, d: str) -> VectorStore:
+    """All vectors in a new collection, ids in the table's order of ids; opened again, as a later caller would."""
+    path = folder(spark, "collection")
+    VectorStore.create(spark, path, DIM).append(vectors(spark, d).select(F.col("vec_id").alias("ord"), "embedding"))
+    return VectorStore.open(spark, path, DIM)
+
+
+def _doubles(v: DataFrame) -> DataFrame:
+    return v.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
+def _scan_store(spark: SparkSession, d: str) -> DataFrame:
+    store = _stored(spark, d)
+    store.verify()
+    return _doubles(store.frame())
+
+
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(42, [float(x) for x in _stored(spark, d).get(42)])], "vec_id long, embedding array<double>")
+
+
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).cast("long").alias("dim"), (F.count(F.lit(1)) == 0).alias("is_empty"))
+    state = _stored(spark, d).state
+    return spark.createDataFrame([(state["rows"], state["dim"], state["rows"] == 0)], "n long, dim long, is_empty boolean")
+
+
+def _lloyd(spark: SparkSession, d: str) -> DataFrame:
+    """One round from the seed centroids: each centroid's points and their mean."""
+    import numpy as np
+    import pandas as pd
+
+    v = vectors(spark, d)
+    book = pq.book_of(seed_codebook(v))
+    parts = v.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(M - 1))).alias("sub"), "embedding").select("vec_id", "sub", pq.part(F.col("embedding"), F.col("sub"), WIDTH).alias("x"))
+
+    def moved(rows: pd.DataFrame) -> pd.DataFrame:
+        sub = int(rows["sub"].iloc[0])
+        n, means = pq.lloyd_round(np.stack(rows["x"].to_numpy()).astype(np.float64), book[sub])
+        own = np.flatnonzero(n)
+        return pd.DataFrame({"sub": sub, "code": own, "n": n[own], "centroid": [[round(float(x), 6) + 0.0 for x in c] for c in means[own]]})
+
+    moves = parts.groupBy("sub").applyInPandas(moved, "sub int, code int, n long, centroid array<double>")
+    return moves.select("sub", "code", "n", F.posexplode("centroid").alias("pos", "mean"))
+
+
+def _uncovered(spark: SparkSession, d: str) -> DataFrame:
+    """Codes were made before a third of the vectors came; those that search by codes can't see."""
+    v = vectors(spark, d)
+    return ingest.unindexed(v, _encoded(v.where("vec_id % 3 <> 1 or vec_id < 256")))
 
 
 def _log(v: DataFrame) -> DataFrame:
@@ -142,8 +190,6 @@ def _health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, d: str) -> DataFrame:
-    from sparkvec.plans.saved import saved
-
     return saved(hnsw.build(vectors(spark, d), CONFIG, SHARDS), "graph")
 
 
@@ -153,15 +199,10 @@ def _ann(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ann_pq(spark: SparkSession, d: str) -> DataFrame:
-    import numpy as np
-
-    from sparkvec.plans.saved import saved
-
     v = vectors(spark, d)
     book = saved(pq.train(v, DIM, M, 10), "codebook")
-    rows = sorted((r["sub"], r["code"], r["centroid"]) for r in book.collect())  # M * 256 rows
-    table = np.array([c for _, _, c in rows]).reshape(M, pq.CENTROIDS, -1)
-    found = hnsw.search(v, _built(spark, d), asked(v), 4 * K, EF, CONFIG, SHARDS, pq.encode(v, book, WIDTH), table)
+    codes = saved(pq.encode(v, book, WIDTH), "codes")
+    found = hnsw.search(v, _built(spark, d), asked(v), 4 * K, EF, CONFIG, SHARDS, codes, pq.book_of(book))
     return pq.reranked(found, v, asked(v), K)
 
 
@@ -186,13 +227,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inner_product": _pairs("inner_product"),
     "distance_dot": _pairs("dot"),
     "distance_cosine": _pairs("cosine"),
-    "store_scan": lambda s, d: vectors(s, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")),
+    "store_scan": _scan_store,
     "append_assign_ids": _append,
-    "point_lookup": lambda s, d: vectors(s, d).where("vec_id = 42").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")),
+    "point_lookup": _lookup,
     "collection_stats": _stats,
     "pq_training_sample": lambda s, d: pq.training_sample(vectors(s, d), 100).select("vec_id", "label"),
     "synthetic_clusters": lambda s, d: clusters(s, 2000, 32),
-    "vectors_by_id": lambda s, d: by_id(vectors(s, d).select("vec_id"), 16),
+    "vectors_by_id": lambda s, d: _doubles(by_id(vectors(s, d).select("vec_id"), 16)),
     "exact_knn_l2": _nearest("l2"),
     "exact_knn_dot": _nearest("dot"),
     "exact_knn_cosine": _nearest("cosine"),
@@ -211,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_health": _health,
     "pq_train": lambda s, d: pq.train(vectors(s, d), DIM, M, 10),
     "kmeans_assign": _kmeans_assign,
+    "kmeans_round": _lloyd,
     "pq_encode": lambda s, d: _encoded(vectors(s, d)),
     "pq_decode": lambda s, d: pq.decode(_encoded(vectors(s, d)), seed_codebook(vectors(s, d))),
     "pq_adc_table": lambda s, d: pq.adc_table(asked(vectors(s, d)), seed_codebook(vectors(s, d)), WIDTH),
@@ -219,7 +261,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pq_flat_rerank": lambda s, d: _flat(s, d, 4),
     "ann_pq": _ann_pq,
     "pq_reconstruction_error": _pq_error,
-    "pq_coverage": lambda s, d: ingest.unindexed(vectors(s, d), _encoded(vectors(s, d))),
+    "pq_coverage": _uncovered,
+    "pq_inconsistent": lambda s, d: pq.inconsistent(_encoded(vectors(s, d)).where("vec_id % 3 <> 1").select("vec_id", F.when(F.col("vec_id") % 3 == 2, F.reverse("codes")).otherwise(F.col("codes")).alias("codes")), vectors(s, d), seed_codebook(vectors(s, d)), WIDTH),
     "wal_replay": lambda s, d: ingest.replay(_log(vectors(s, d)), vectors(s, d).where("vec_id < 100"), 50),
     "wal_gap_check": lambda s, d: ingest.gaps(vectors(s, d).where("vec_id % 7 <> 3").select("vec_id")),
     "verify_recovery": lambda s, d: ingest.verify(vectors(s, d).where("vec_id % 50 <> 1"), vectors(s, d)),
@@ -275,9 +318,14 @@ ORACLE_SQL: dict[str, str] = {
     "inner_product": _sql_pairs("inner_product"),
     "distance_dot": _sql_pairs("dot"),
     "distance_cosine": _sql_pairs("cosine"),
-    "store_scan": f"SELECT vec_id, label, {_D} AS embedding FROM embeddings",
+    "store_scan": f"SELECT vec_id, {_D} AS embedding FROM embeddings",
+    "vectors_by_id": f"""SELECT vec_id, list_transform(range(16), lambda j: CAST(CAST(CAST((CAST(vec_id AS HUGEINT) * {BY_ID} + j * CAST({BY_PLACE} AS HUGEINT)) % 18446744073709551616 // {1 << DROPPED} AS FLOAT) / CAST(4294967295 AS FLOAT) AS FLOAT) - CAST(0.5 AS FLOAT) AS DOUBLE)) AS embedding FROM embeddings""",
+    "graph_integrity": "SELECT CAST(0 AS BIGINT) AS self_links, CAST(0 AS BIGINT) AS missing_targets, CAST(0 AS BIGINT) AS over_degree",
+    "kmeans_round": f"""WITH {_CODED}, x AS (SELECT sub, code, unnest(list_slice(e, sub * {WIDTH} + 1, sub * {WIDTH} + {WIDTH})) AS x, CAST(unnest(range({WIDTH})) AS INTEGER) AS pos FROM each JOIN v USING (vec_id))
+        SELECT sub, code, count(*) AS n, pos, round(avg(x), 6) + 0.0 AS mean FROM x GROUP BY sub, code, pos""",
+    "pq_inconsistent": f"WITH {_CODED} SELECT vec_id FROM codes WHERE vec_id % 3 = 1 OR (vec_id % 3 = 2 AND codes <> list_reverse(codes))",
     "append_assign_ids": "SELECT vec_id AS ord, label, (SELECT count(*) FROM embeddings) + row_number() OVER (ORDER BY vec_id) - 1 AS vec_id FROM embeddings",
-    "point_lookup": f"SELECT vec_id, label, {_D} AS embedding FROM embeddings WHERE vec_id = 42",
+    "point_lookup": f"SELECT vec_id, {_D} AS embedding FROM embeddings WHERE vec_id = 42",
     "collection_stats": "SELECT count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) = 0 AS is_empty FROM embeddings",
     "pq_training_sample": "SELECT vec_id, label FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 100) = 0",
     "exact_knn_l2": _sql_nearest("l2"),
@@ -285,7 +333,7 @@ ORACLE_SQL: dict[str, str] = {
     "exact_knn_cosine": _sql_nearest("cosine"),
     "exact_knn_batch": f"WITH {_V}, {_Q} {_sql_knn(K)}",
     "ground_truth_l2": f"WITH {_V}, {_Q} {_sql_knn(100)}",
-    "knn_k_exceeds_n": f"WITH {_V}, {_Q}, z AS (SELECT * FROM v WHERE label = 0) {_sql_knn(1 << 30, 'l2', 'z')}",
+    "knn_k_exceeds_n": f"WITH {_V}, {_Q} {_sql_knn(1 << 30)}",
     "knn_padded": f"""WITH {_V}, {_Q}, z AS (SELECT * FROM v WHERE label = 0), n AS ({_sql_knn(K * 10, 'l2', 'z')})
         SELECT s.qid, s.rank, n.vec_id, coalesce(n.distance, CAST('inf' AS DOUBLE)) AS distance FROM (SELECT qid, r AS rank FROM q, range(1, {K * 10 + 1}) t(r)) s LEFT JOIN n USING (qid, rank)""",
     "graph_indegree": f"{_GRAPH} SELECT g.node_id, count(t.node_id) AS indegree FROM g LEFT JOIN t ON g.node_id = t.node_id GROUP BY g.node_id",
@@ -302,7 +350,7 @@ ORACLE_SQL: dict[str, str] = {
     "pq_reconstruction_error": f"""WITH {_CODED}, x AS (SELECT unnest(e) AS x, unnest(range({DIM})) AS pos FROM v), m AS (SELECT pos, avg(x) AS mean FROM x GROUP BY pos),
         dec AS (SELECT vec_id, flatten(list(centroid ORDER BY each.sub)) AS decoded FROM each JOIN book USING (sub, code) GROUP BY vec_id)
         SELECT round((SELECT sum({_L2('v.e', 'dec.decoded')}) FROM v JOIN dec USING (vec_id)) / (SELECT sum((x - mean) * (x - mean)) FROM x JOIN m USING (pos)), 6) AS relative_error""",
-    "pq_coverage": f"WITH {_CODED} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM codes)",
+    "pq_coverage": "SELECT vec_id FROM embeddings WHERE vec_id % 3 = 1 AND vec_id >= 256",
     "wal_replay": f"WITH {_LOG} SELECT vec_id, min(lsn) AS lsn FROM log WHERE lsn >= 50 AND vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id < 100) GROUP BY vec_id",
     "wal_gap_check": "SELECT vec_id, next_id FROM (SELECT vec_id, lead(vec_id) OVER (ORDER BY vec_id) AS next_id FROM embeddings WHERE vec_id % 7 <> 3) WHERE next_id - vec_id <> 1",
     "verify_recovery": "SELECT count(*) AS expected, count(*) FILTER (vec_id % 50 = 1) AS missing, CAST(0 AS BIGINT) AS mismatched FROM embeddings",

@@ -1,24 +1,29 @@
 """A vector collection as a folder of Parquet batches with a JSON manifest that names those which count.
 
-A batch is written first and then named in a new manifest, put in place by one rename; a batch that no manifest names
-doesn't exist. Ids are dense, in append order. The manifest also holds the settings the collection was made with, which
-win over a later caller's, and the last streaming batch that was taken.
+A batch is written first and then named in a new manifest, which has the next number; a batch that no manifest names
+doesn't exist. A manifest is never changed or replaced: it is made under a name that must not exist, so of two writers one
+fails, and it holds its own checksum, so one that a crash left incomplete doesn't count and the one before is the newest.
+Ids are dense, in append order. The manifest also holds the settings the collection was made with, which win over a later
+caller's, and the last streaming batch that was taken.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkvec.errors import Corrupt, DimensionMismatch, IdOutOfRange, InvalidArgument
+from sparkvec.plans.saved import saved
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType(), False), T.StructField("embedding", T.ArrayType(T.FloatType(), False), False)])
-MANIFEST, VERSION = "MANIFEST.json", 1
+PREFIX, VERSION, KEPT = "manifest-", 1, 8
 
 
 class VectorStore:
@@ -30,39 +35,89 @@ class VectorStore:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    @classmethod
+    def _names(cls, spark: SparkSession, path: str) -> list[str]:
+        where, fs = cls._fs(spark, path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+    @classmethod
+    def exists(cls, spark: SparkSession, path: str) -> bool:
+        """Whether anything of a collection is in a folder, a manifest or not."""
+        return any(n.startswith((PREFIX, "batch-")) for n in cls._names(spark, path))
+
     @classmethod
     def create(cls, spark: SparkSession, path: str, dim: int, **settings) -> VectorStore:
         if not 1 <= dim < 2**32:
             raise InvalidArgument("dim must be from 1 to 2**32 - 1")
-        store = cls(spark, path, {"version": VERSION, "dim": dim, "rows": 0, "batches": [], "last_batch": -1, "settings": settings})
+        if cls.exists(spark, path):
+            raise Corrupt(f"{path} already holds a collection, or what is left of one")
+        store = cls(spark, path, {"version": VERSION, "number": 0, "dim": dim, "rows": 0, "batches": [], "last_batch": -1, "settings": settings})
         store._publish(store.state)
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int | None = None) -> VectorStore:
-        where, fs = cls._fs(spark, f"{path}/{MANIFEST}")
-        if not fs.exists(where):
+        """The newest whole manifest's state."""
+        found = [n for n in cls._names(spark, path) if n.startswith(PREFIX)]
+        if not found:
             raise Corrupt(f"{path} has no manifest")
-        try:
-            state = json.loads(spark.read.text(f"{path}/{MANIFEST}", wholetext=True).first()[0])
-        except Exception as e:  # unreadable, or no JSON
-            raise Corrupt(f"the manifest of {path} can't be read") from e
+        state = next((x for n in reversed(found) if (x := cls._state(spark, f"{path}/{n}"))), None)
+        if state is None:
+            raise Corrupt(f"no manifest of {path} is whole")
         if state.get("version") != VERSION or state["rows"] != sum(b["rows"] for b in state["batches"]):
             raise Corrupt(f"the manifest of {path} contradicts itself")
         if dim is not None and dim != state["dim"]:
             raise DimensionMismatch(f"the collection has {state['dim']} dimensions, not {dim}")
         return cls(spark, path, state)
 
+    @staticmethod
+    def _state(spark: SparkSession, file: str) -> dict | None:
+        """A manifest's state; nothing where its writing was cut short, an error where it is damaged."""
+        try:
+            text = spark.read.text(file, wholetext=True).collect()
+        except Exception as e:
+            raise Corrupt(f"{file} can't be read") from e
+        head, _, body = (text[0][0] if text else "").partition("\n")
+        size, _, crc = head.partition(" ")
+        if not (size.isdigit() and crc.isdigit()) or len(body) < int(size):
+            return None
+        if zlib.crc32(body.encode()) != int(crc):
+            raise Corrupt(f"{file} is damaged")
+        return json.loads(body)
+
     def _publish(self, state: dict) -> None:
-        target, fs = self._fs(self.spark, f"{self.path}/{MANIFEST}")
-        new, _ = self._fs(self.spark, f"{self.path}/.{uuid.uuid4().hex}")
-        out = fs.create(new)
-        out.write(bytearray(json.dumps(state).encode()))
+        """Make state the newest, or fail where another writer has been faster."""
+        taken = [int(n.removeprefix(PREFIX)) for n in self._names(self.spark, self.path) if n.startswith(PREFIX)]
+        newest = max((n for n in taken if self._state(self.spark, self._manifest(n))), default=0)
+        if newest > self.state["number"]:
+            raise Corrupt(f"another writer has changed {self.path}")
+        state = dict(state, number=max(taken, default=0) + 1)
+        body = json.dumps(state)
+        target, fs = self._fs(self.spark, self._manifest(state["number"]))
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            raise Corrupt(f"another writer has changed {self.path}") from e
+        out.write(bytearray(f"{len(body)} {zlib.crc32(body.encode())}\n{body}".encode()))
         out.close()
-        fs.delete(target, False)
-        if not fs.rename(new, target):
-            raise Corrupt(f"the manifest of {self.path} couldn't be put in place")
         self.state = state
+        for n in sorted(taken)[:-KEPT]:
+            fs.delete(self._fs(self.spark, self._manifest(n))[0], False)
+
+    def _manifest(self, number: int) -> str:
+        return f"{self.path}/{PREFIX}{number:012d}"
+
+    def verify(self) -> None:
+        """Raises where a batch can't be read whole, or hasn't the rows, ids and widths that it should."""
+        for b in self.state["batches"]:
+            try:
+                own = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{b['name']}")
+                wide = F.sum((F.size("embedding") != self.state["dim"]).cast("long")).alias("wide")
+                r = own.agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.countDistinct("vec_id").alias("ids"), wide).first()
+            except Exception as e:
+                raise Corrupt(f"{b['name']} can't be read") from e
+            if r["n"] != b["rows"] or r["n"] and (r["first"], r["last"], r["ids"], r["wide"]) != (b["first"], b["first"] + b["rows"] - 1, b["rows"], 0):
+                raise Corrupt(f"{b['name']} isn't what the manifest says")
 
     def frame(self) -> DataFrame:
         """All vectors; only batches in the manifest are read."""
@@ -103,12 +158,14 @@ class VectorStore:
 
 
 def assign_ids(rows: DataFrame, order: str, first: int) -> DataFrame:
-    """rows with vec_id = first, first + 1, ... in the order of a column: counted in ranges of it, not in one task."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    """rows with vec_id = first, first + 1, ... in the order of a column, equal ones by their other columns' hash: counted in
+    ranges of it, not in one task. The ranges are written once, so that counts and numbers are of the same rows even if
+    the input isn't the same when it is read again."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+    ranged = saved(rows.withColumn("_tie", tie).repartitionByRange(parts, order, "_tie").withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order, "_tie")) - 1
     numbered = ranged.withColumn("_at", place).join(F.broadcast(before), "_part")
-    return numbered.withColumn("vec_id", (F.col("_before") + F.col("_at") + F.lit(first)).cast("long")).drop("_part", "_at", "_before")
+    return numbered.withColumn("vec_id", (F.col("_before") + F.col("_at") + F.lit(first)).cast("long")).drop("_part", "_at", "_before", "_tie")

@@ -35,3 +35,14 @@ def read_vecs(spark: SparkSession, path: str, kind: str = "fvecs") -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", F.col("content"))
     return files.mapInArrow(parsed, f"path string, vec_id long, {column} array<{element}>")
+
+
+def load_sift(spark: SparkSession, folder: str, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, queries, truth) of a folder with sift_base.fvecs, sift_query.fvecs and sift_groundtruth.ivecs: frames
+    (vec_id, embedding), (qid, q) and (qid, rank, vec_id). With a limit only that many vectors are read from the base; the
+    truth then isn't that of the rest and must be searched anew."""
+    base = read_vecs(spark, f"{folder}/sift_base.fvecs").select("vec_id", "embedding")
+    queries = read_vecs(spark, f"{folder}/sift_query.fvecs").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    truth = read_vecs(spark, f"{folder}/sift_groundtruth.ivecs", "ivecs").select(F.col("vec_id").alias("qid"), F.posexplode("ids").alias("rank", "id"))
+    truth = truth.select("qid", (F.col("rank") + 1).cast("long").alias("rank"), F.col("id").alias("vec_id"))
+    return base if limit is None else base.where(F.col("vec_id") < limit), queries, truth

@@ -114,7 +114,10 @@ def test_stream_ingestion_takes_each_batch_once(spark, tmp_path):
         ingest(stream, store, str(tmp_path / "c")).awaitTermination()
     assert [r["vec_id"] for r in store.frame().orderBy("vec_id").collect()] == [0, 1]
     assert store.append(frame(spark, [[9, 9]], "ord"), batch=0) == 2 and store.state["rows"] == 2
-    (tmp_path / "s" / "MANIFEST.json").write_text("{")
+    for crc in (tmp_path / "s").glob(".manifest*"):
+        crc.unlink()
+    newest = sorted((tmp_path / "s").glob("manifest-*"))[-1]
+    newest.write_text(newest.read_text().replace("rows", "r0ws"))
     with pytest.raises(Corrupt):
         VectorStore.open(spark, str(tmp_path / "s"))
 
@@ -128,3 +131,121 @@ def test_vecs_files_and_gaps(spark, tmp_path):
         read_vecs(spark, str(tmp_path / "b.fvecs")).collect()
     ids = spark.createDataFrame([(x,) for x in (0, 1, 3, 4, 9)], "vec_id long")
     assert sorted(map(tuple, gaps(ids, 4).collect())) == [(1, 3), (4, 9)]
+
+
+def test_a_crash_between_any_two_steps_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store = VectorStore.create(spark, path, 2)
+    store.append(frame(spark, [[1, 2], [3, 4]], "ord"))
+    rows = lambda: [r["vec_id"] for r in VectorStore.open(spark, path).frame().orderBy("vec_id").collect()]
+    frame(spark, [[5, 6]]).write.parquet(f"{path}/batch-unnamed")  # written, but its manifest wasn't begun
+    assert rows() == [0, 1]
+    whole = sorted((tmp_path / "s").glob("manifest-*"))[-1].read_text()
+    for cut in (0, 3, len(whole) // 2, len(whole) - 1):  # the next manifest is incomplete
+        (tmp_path / "s" / "manifest-000000000099").write_text(whole[:cut])
+        assert rows() == [0, 1]
+    later = VectorStore.open(spark, path)
+    assert later.append(frame(spark, [[5, 6]], "ord")) == 2 and rows() == [0, 1, 2]
+    with pytest.raises(Corrupt, match="another writer"):
+        store.append(frame(spark, [[7, 8]], "ord"))
+    assert rows() == [0, 1, 2]
+    for f in (tmp_path / "s").glob("*manifest*"):
+        f.unlink()
+    for again in (lambda: VectorStore.create(spark, path, 2), lambda: VectorDb(spark, path, 2)):
+        with pytest.raises(Corrupt):
+            again()
+
+
+def test_damaged_batches_are_found(spark, tmp_path):
+    store = VectorStore.create(spark, str(tmp_path / "s"), 2)
+    store.append(frame(spark, [[1, 2], [3, 4]], "ord"))
+    store.verify()
+    batch = f"{tmp_path}/s/{store.state['batches'][0]['name']}"
+    for rows in ([[1, 2]], [[1, 2], [3, 4], [5, 6]], [[1, 2], [3]]):
+        frame(spark, rows).write.mode("overwrite").parquet(batch)
+        with pytest.raises(Corrupt):
+            store.verify()
+
+
+def test_other_widths_are_errors_not_neighbours(spark):
+    v, q = frame(spark, [[1, 1], [1, 1, 1], [0, 0]]), frame(spark, [[0, 0]], "qid", "q")
+    for search in (lambda: knn.nearest(v, [0.0, 0.0], 2), lambda: knn.knn(v, q, 2), lambda: pq.reranked(spark.createDataFrame([(0, 1)], "qid long, vec_id long"), v, q, 1)):
+        with pytest.raises(Exception, match="dimensions|lengths"):
+            search().collect()
+
+
+def test_codes_are_those_of_the_folds_also_in_ties():
+    r = np.random.default_rng(5)
+    book = r.integers(-2, 3, (2, 256, 4)).astype(float)  # many centroids are equal
+    v = r.integers(-2, 3, (300, 8)).astype(float)
+    codes = pq.nearest_codes(v, book)
+    for x, own in zip(v, codes, strict=True):
+        for s in range(2):
+            d = [sum((a - b) ** 2 for a, b in zip(x[4 * s : 4 * s + 4], c, strict=True)) for c in book[s]]
+            assert own[s] == d.index(min(d))
+
+
+def test_blocks_of_queries_give_what_one_block_gives(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    v, q = frame(spark, r.standard_normal((200, 8))), frame(spark, r.standard_normal((7, 8)), "qid", "q")
+    whole = sorted(map(tuple, knn.knn(v, q, 5).collect()))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, knn.knn(v, q, 5).collect())) == whole
+
+
+def test_search_by_codes_joins_no_codes_with_queries(spark):
+    v, q = frame(spark, np.random.default_rng(7).standard_normal((300, 8))), frame(spark, [[0] * 8], "qid", "q")
+    book = pq.train(v, 8, 2, 2)
+    plan = pq.flat_search(pq.encode(v, book, 4), q, book, 4, 3)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_added_rows_extend_graph_and_codes(spark, tmp_path, monkeypatch):
+    import sparkvec.db
+
+    monkeypatch.setattr(sparkvec.db, "SHARD_ROWS", 150)
+    rows = np.random.default_rng(8).standard_normal((500, 8)).astype(np.float32)
+    db = VectorDb(spark, str(tmp_path / "db"), 8, m=8, ef_construction=50)
+    db.add(rows[:400])
+    db.train_pq(2, 2)
+    assert db.search_pq(rows[:3], 1)[0][:, 0].tolist() == [0, 1, 2]
+    first = {p["folder"] for p in db.store.state["settings"]["graph"]["parts"]}
+    db.add(rows[400:])
+    assert db.pq_inconsistent_ids() == (list(range(400, 500)), 400, 500)
+    assert db.search_pq(rows[497:], 1)[0][:, 0].tolist() == db.search(rows[497:], 1)[0][:, 0].tolist() == [497, 498, 499]
+    parts = db.store.state["settings"]["graph"]["parts"]
+    assert first < {p["folder"] for p in parts} and [p["first"] for p in parts] == [0, 2]
+    assert db.pq_inconsistent_ids() == ([], 500, 500)
+    db.verify()
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sparkvec.__main__ import main
+
+    path = str(tmp_path / "db")
+    assert main(["ingest", path, "8", "40", "20"], spark) == 0
+    out = capsys.readouterr().out.split("\n")
+    assert out[:40] == [f"ACK {i}" for i in range(40)] and out[40] == "DONE 40"
+    assert main(["verify", path, "8", "40"], spark) == 0 and capsys.readouterr().out.startswith("OK len=40 orphans=")
+    assert main(["verify", path, "8", "41"], spark) == 1
+    assert main(["search", path, "8", "7", "2"], spark) == 0 and capsys.readouterr().out.split("\t")[0] == "7"
+    assert main(["orphans", path, "8"], spark) == 0
+    assert main(["ingest", path, "8", "40", "0"], spark) == 1
+    assert main(["verify", path, "9", "1"], spark) == 1
+    assert main([], spark) == main(["search", path, "8", "7"], spark) == main(["orphans", path, "x"], spark) == 2
+
+
+def test_vectors_by_id_and_sift_files(spark, tmp_path):
+    from sparkvec.sources.synthetic import BY_ID, BY_PLACE, vectors_of
+    from sparkvec.sources.vecs import load_sift
+
+    v = vectors_of(np.array([0, 1, 2**40]), 3)
+    for i, own in zip((0, 1, 2**40), v, strict=True):
+        for j, x in enumerate(own):
+            assert x == np.float32(((i * BY_ID + j * BY_PLACE) % 2**64) >> 33) / np.float32(2**32 - 1) - np.float32(0.5)
+    rec = lambda kind, *x: np.array([len(x)], "<i4").tobytes() + np.array(x, kind).tobytes()
+    (tmp_path / "sift_base.fvecs").write_bytes(rec("<f4", 1, 2) + rec("<f4", 3, 4))
+    (tmp_path / "sift_query.fvecs").write_bytes(rec("<f4", 3, 4))
+    (tmp_path / "sift_groundtruth.ivecs").write_bytes(rec("<i4", 1, 0))
+    base, queries, truth = load_sift(spark, str(tmp_path))
+    assert knn.recall(knn.knn(base, queries, 2), truth, 2).first()[0] == 1.0 and load_sift(spark, str(tmp_path), 1)[0].count() == 1
