@@ -189,20 +189,20 @@ def _health(spark: SparkSession, d: str) -> DataFrame:
     return o.crossJoin(n).select("orphans", "nodes", (F.col("orphans") / F.greatest("nodes", F.lit(1))).alias("rate"), (F.col("orphans") > 0.001 * F.col("nodes")).alias("unhealthy"))
 
 
-def _built(spark: SparkSession, d: str) -> DataFrame:
+def built(spark: SparkSession, d: str) -> DataFrame:
     return saved(hnsw.build(vectors(spark, d), CONFIG, SHARDS), "graph")
 
 
 def _ann(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return hnsw.search(v, _built(spark, d), asked(v), K, EF, CONFIG, SHARDS)
+    return hnsw.search(v, built(spark, d), asked(v), K, EF, CONFIG, SHARDS)
 
 
 def _ann_pq(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     book = saved(pq.train(v, DIM, M, 10), "codebook")
     codes = saved(pq.encode(v, book, WIDTH), "codes")
-    found = hnsw.search(v, _built(spark, d), asked(v), 4 * K, EF, CONFIG, SHARDS, codes, pq.book_of(book))
+    found = hnsw.search(v, built(spark, d), asked(v), 4 * K, EF, CONFIG, SHARDS, codes, pq.book_of(book))
     return pq.reranked(found, v, asked(v), K)
 
 
@@ -243,10 +243,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_padded": _padded,
     "hnsw_levels": lambda s, d: vectors(s, d).select("vec_id", hnsw.level_column(F.col("vec_id"), CONFIG.m).alias("level")),
     "neighbor_heuristic": _heuristic,
-    "hnsw_build": _built,
+    "hnsw_build": built,
     "ann_hnsw": _ann,
     "ann_recall": lambda s, d: knn.recall(_ann(s, d), _knn(K)(s, d), K),
-    "graph_integrity": lambda s, d: hnsw.violations(_built(s, d), CONFIG.m),
+    "graph_integrity": lambda s, d: hnsw.violations(built(s, d), CONFIG.m),
     "graph_indegree": lambda s, d: hnsw.indegree(near_graph(vectors(s, d))),
     "graph_orphans": lambda s, d: hnsw.orphans(near_graph(vectors(s, d)), s.createDataFrame([(0,)], "node_id long")),
     "graph_health": _health,
