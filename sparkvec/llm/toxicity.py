@@ -409,7 +409,8 @@ def _sampled(characters: np.ndarray):
             found: list[set[int]] = [set() for _ in range(batch.num_rows)]
             for text, features in restorer.text_features(batch.column("text")) if batch.num_rows else ():
                 found[text].update(features)
-            begins = [np.array([restorer.begins[f] for f in sorted(x)], "<i4").tobytes() for x in found]
+            # only features of toxic texts are chosen
+            begins = [np.array([restorer.begins[f] for f in sorted(x)] if label == 1 else [], "<i4").tobytes() for x, label in zip(found, batch.column("_label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([np.array(sorted(x), "<u4").tobytes() for x in found], pa.binary()), pa.array(begins, pa.binary())], ["doc_id", "label", "features", "begins"])
 
     return run
