@@ -1,13 +1,16 @@
-"""Byte-pair encoding by a deterministic automaton over tokens.
+"""Byte-pair encoding by a compiled deterministic automaton over tokens.
 
 The automaton reads token sequences and accepts those that the merges give. It starts with one state and a loop for each
 base symbol. The gadget of a merge (a, b) -> c, applied in rank order, splits the state that arcs labelled a lead to: its
-copy, which those arcs now lead to, lacks the arc b; and wherever an a arc left, a c arc is added that leads where a then
-b led. States don't change once made, so a state is named by its token and the gadgets applied, and an arc is decided by
-following how its label and its state were made; decided arcs are kept in a transition table.
+copy, which those arcs now lead to, lacks the arc b and the arcs that would yet come of it; and wherever an a arc leaves, a
+c arc is added that leads where b led. So a label leads to one state, and each gadget makes one more state.
 
-A word has one accepted path. Encoding follows arcs from the word's start, the longest label first, and where none leads
-on marks the place as dead and takes the last arc back, so no place is left twice. Decoding emits the labels of the arcs.
+Labels are numbered so that those made from the same left part stand together, in the order of their making, with that
+part behind them. Then what a gadget takes from a state is one run of numbers, a state's row is a sorted list of bounds
+of such runs, and whether a state has an arc is one search in its row.
+
+A word is read by the automaton and the trie of its labels' spellings at once. Each place of a word is reached by one
+path, so places are settled from left to right without a step back. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,74 +40,133 @@ class WordAutomaton:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
-        self.vocabulary: dict[str, int] = model["vocab"]
-        self.labels = {i: t for t, i in self.vocabulary.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        size = max(self.labels) + 1
-        self.left, self.right, self.made = [-1] * size, [-1] * size, [0] * size
-        self.gadget: dict[int, int] = {}
-        self.size, self.symbols = size, byte_symbols()
-        for k, merge in enumerate(model["merges"], 1):
+        vocabulary: dict[str, int] = model["vocab"]
+        self.labels = {i: t for t, i in vocabulary.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        merges = []
+        for merge in model["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self._add_gadget(k, self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b])
-        self.table: dict[int, bool] = {}
-        self.inner = {t: i for t, i in self.vocabulary.items() if not t.endswith(suffix)}
-        self.final = {t.removesuffix(suffix): i for t, i in self.vocabulary.items() if t.endswith(suffix)}
-        self.longest = max(map(len, (*self.inner, *self.final)))
+            merges.append((vocabulary[a], vocabulary[b], vocabulary[a + b.removeprefix(model["continuing_subword_prefix"] or "")]))
+        self._compile(max(self.labels) + 1, merges)
+        self._spell(vocabulary, suffix, merges)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
+        if any(map(regex.compile(r"\s").search, self.added)):
+            raise ValueError("an added token holds white space, at which texts are cut")
+        # With no added token, what never matches.
+        self.special = regex.compile("(" + ("|".join(map(regex.escape, self.added)) or r"\b\B") + ")")
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.words: dict[str, tuple[int, str, str]] = {}
         self.pieces = PieceCache(lambda ps: [self._piece(p) for p in ps], 150_000)
 
-    def _add_gadget(self, k: int, a: int, b: int, c: int) -> None:
-        self.gadget[a * self.size + b] = k
-        if not self.made[c]:
-            self.left[c], self.right[c], self.made[c] = a, b, k
+    def _compile(self, size: int, merges: list[tuple[int, int, int]]) -> None:
+        """Applies the gadget of each merge in turn; then number[t] is t's number, and t's arcs lead to the row of bounds
+        from row[t] up to row_end[t]."""
+        below, ready = [1] * size, [0] * size  # labels with t at their left edge, t among them; the first merge that may use t
+        for k, (a, b, c) in enumerate(merges, 1):
+            if ready[c] or c in (a, b):
+                raise ValueError(f"merge {k} gives a token that another gives, too")
+            ready[c] = k
+        for k, (a, b, _) in enumerate(merges, 1):
+            if max(ready[a], ready[b]) >= k:
+                raise ValueError(f"merge {k} uses a token that a later merge gives")
+        for a, _, c in reversed(merges):
+            below[a] += below[c]
+        place, free = [0] * size, 0  # where the next label made from t at its left begins
+        for t in range(size):
+            if not ready[t]:
+                place[t], free = free, free + below[t]
+        number = [p + n - 1 for p, n in zip(place, below, strict=True)]
+        leads = [0] * size
+        origin, first, last = [0], [0], [0]  # of each state: the one it copies, the run of labels that it lacks besides
+        self.idle: set[int] = set()  # tokens that no path holds, as no path held the parts of their merge side by side
+
+        def lacks(state: int, label: int) -> bool:
+            while state and not first[state] <= label <= last[state]:
+                state = origin[state]
+            return state > 0
+
+        for a, b, c in merges:
+            run = place[b]
+            place[c], number[c] = place[a], place[a] + below[c] - 1
+            place[a] += below[c]
+            if a in self.idle or b in self.idle or lacks(leads[a], number[b]):
+                self.idle.add(c)
+                continue
+            leads[c] = leads[b]
+            origin.append(leads[a])
+            first.append(run)
+            last.append(number[b])
+            leads[a] = len(origin) - 1
+        self.number, self.states = number, len(origin)
+        self._rows(np.array(leads), *(np.array(x, np.int64) for x in (origin, first, last)))
+
+    def _rows(self, leads: np.ndarray, origin: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        used, of = np.unique(leads, return_inverse=True)
+        at, row, low, high = used, np.arange(len(used)), [], []
+        while len(at):  # a step towards the first state for all rows at once
+            at, row = at[at > 0], row[at > 0]
+            low.append(row << 32 | first[at])
+            high.append(row << 32 | last[at] + 1)
+            at = origin[at]
+        low, high = np.concatenate(low), np.concatenate(high)
+        order = np.argsort(low, kind="stable")
+        low, reach = low[order], np.maximum.accumulate(high[order])
+        begins = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]])[: len(low)])
+        bounds = np.stack([low[begins], reach[np.append(begins[1:], len(low)) - 1]], 1)[: len(begins)]
+        ends = 2 * np.searchsorted(bounds[:, 0], np.arange(1, len(used) + 1) << 32)
+        self.bounds = array("i", (bounds & 0xFFFFFFFF).astype(np.int32).tobytes())
+        self.row_end = ends[of].tolist()
+        self.row = np.concatenate([[0], ends])[of].tolist()
+
+    def _spell(self, vocabulary: dict[str, int], suffix: str, merges: list[tuple[int, int, int]]) -> None:
+        """The trie of the labels: a symbol is a byte, 256 more if a word ends with it."""
+        symbol = {c: b for b, c in enumerate(byte_symbols())}
+        spelled = {vocabulary[c + end]: (b + more,) for c, b in symbol.items() for end, more in ((suffix, 256), ("", 0)) if c + end in vocabulary}
+        for a, b, c in merges:
+            spelled[c] = spelled[a] + spelled[b]
+        self.step: dict[int, int] = {}
+        self.label_at = [-1]
+        for t, symbols in spelled.items():
+            if t in self.idle:
+                continue
+            node = 0
+            for x in symbols:
+                key = node << 9 | x
+                if (node := self.step.get(key, 0)) == 0:
+                    node = self.step[key] = len(self.label_at)
+                    self.label_at.append(-1)
+            self.label_at[node] = t
 
     def arc(self, state: int, label: int) -> bool:
-        """Whether label may follow once all gadgets are applied, where state is the token last read."""
-        key = state * self.size + label
-        if (known := self.table.get(key)) is None:
-            known = self.table[key] = self._decide(state, label)
-            if len(self.table) > 1_000_000:
-                self.table.clear()
-        return known
-
-    def _decide(self, a: int, y: int) -> bool:
-        made, gadget, upto = self.made, self.gadget, 1 << 60
-        while True:
-            if (k := gadget.get(a * self.size + y)) is not None and k <= upto:
-                return False
-            if made[y] and made[y] >= made[a]:  # the arc was added where an arc of its left part left
-                upto, y = made[y], self.left[y]
-            elif made[a]:  # the state is the one that the right part led to before
-                upto, a = made[a] - 1, self.right[a]
-            else:
-                return True
+        """Whether label may follow the token state."""
+        begin = self.row[state]
+        return not (bisect_right(self.bounds, self.number[label], begin, self.row_end[state]) - begin) & 1
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-split word."""
-        text = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
-        n, inner, final, longest, table, size = len(text), self.inner, self.final, self.longest, self.table, self.size
-        out, ends, dead, most = [], [0], set(), len(text)
-        while (at := ends[-1]) < n:
-            for end in range(min(at + longest, most), at, -1):
-                token = inner.get(text[at:end]) if end < n else final.get(text[at:])
-                if token is None or end in dead:
+        """Ids of one pre-split word. Raises where the vocabulary can't spell it."""
+        symbols = list(word.encode("utf-8"))
+        n, step, label_at, number, bounds = len(symbols), self.step, self.label_at, self.number, self.bounds
+        symbols[-1] += 256
+        token, begun = [-1] * (n + 1), [0] * (n + 1)  # the last label of the path to each place, and where it begins
+        begin = end = 0
+        for at in range(n):
+            if at:
+                if (state := token[at]) < 0:
                     continue
-                if out:
-                    fits = table.get(out[-1] * size + token)
-                    if not (self.arc(out[-1], token) if fits is None else fits):
-                        continue
-                out.append(token)
-                ends.append(end)
-                most = n
-                break
-            else:
-                dead.add(at)
-                out.pop()
-                most = ends.pop() - 1
-        return out
+                begin, end = self.row[state], self.row_end[state]
+            node = 0
+            for stop in range(at, n):
+                if (node := step.get(node << 9 | symbols[stop])) is None:
+                    break
+                label = label_at[node]
+                if label >= 0 and token[stop + 1] < 0 and not (bisect_right(bounds, number[label], begin, end) - begin) & 1:
+                    token[stop + 1], begun[stop + 1] = label, at
+        out, at = [], n
+        while at:
+            if token[at] < 0:
+                raise ValueError(f"no path spells {word[:40]!r}")
+            out.append(token[at])
+            at = begun[at]
+        return out[::-1]
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -126,7 +190,7 @@ class WordAutomaton:
         return len(ids), "".join([f" {i}" for i in ids]), "".join([" " + self.labels[i] for i in ids])
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
-        if "<|" in piece:
+        if self.special.search(piece):
             return self._shown(self.encode(piece))
         known, out = self.words, []
         for word in self.split.findall(self._plain(piece)):

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import itertools
+import json
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -122,6 +125,58 @@ def test_warc_headers_of_any_length(spark, tmp_path):
     assert all(f"WARC-Target-URI: {u}\r\n" in data[k] for k, u in urls.items())
 
 
+def merged(word, merges):
+    """Merges applied to whole words one after another, by their definition."""
+    for a, b in merges:
+        out = []
+        for x in word:
+            if out and (out[-1], x) == (a, b):
+                out[-1] = a + b
+            else:
+                out.append(x)
+        word = out
+    return word
+
+
+def small_vocabulary(folder, merges):
+    with open(WORDS, encoding="utf-8") as f:
+        spec = json.load(f)
+    base = [c + end for end in ("", "</w>") for c in "ab"]
+    made = list(dict.fromkeys([*base, *(a + b for a, b in merges)]))
+    spec["model"] |= {"vocab": {t: i for i, t in enumerate(made)}, "merges": [list(m) for m in merges]}
+    spec["added_tokens"] = []
+    path = folder / f"{uuid.uuid4().hex}.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    return str(path)
+
+
+def test_gadgets_give_the_paths_of_the_merges(tmp_path):
+    r = np.random.default_rng(5)
+    for _ in range(25):
+        known, merges = ["a", "b", "a</w>", "b</w>"], []
+        while len(merges) < 14:
+            a, b = (known[i] for i in r.integers(0, len(known), 2))
+            if not a.endswith("</w>") and a + b not in known:
+                merges.append((a, b))
+                known.append(a + b)
+        own = automaton.WordAutomaton(small_vocabulary(tmp_path, merges))
+        assert own.states == len(merges) + 1 - len(own.idle)
+        for n in range(1, 10):
+            for letters in itertools.product("ab", repeat=n):
+                path = merged([*letters[:-1], letters[-1] + "</w>"], merges)
+                ids = own.encode_word("".join(letters))
+                assert [own.labels[i] for i in ids] == path, (merges, letters)
+                assert all(itertools.starmap(own.arc, itertools.pairwise(ids)))
+
+
+def test_vocabularies_that_no_gadgets_fit_are_refused(tmp_path):
+    for merges in ([("ab", "a"), ("a", "b")], [("a", "b"), ("ab", "a"), ("b", "a"), ("a", "ba")]):
+        with pytest.raises(ValueError, match="merge"):
+            automaton.WordAutomaton(small_vocabulary(tmp_path, [*merges, ("a", "a")]))
+    with pytest.raises(ValueError, match="spells"):
+        automaton.WordAutomaton(small_vocabulary(tmp_path, [("a", "b")])).encode_word("abc")
+
+
 def test_automaton_equals_the_library(spark, docs):
     own = Tokenizer.from_file(WORDS)
     own.no_truncation()
