@@ -254,6 +254,27 @@ def test_near_groups_against_brute_force(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in found} == {i: (len(s), root[i], root[i] == i) for i, s in sets.items()}
 
 
+def test_near_groups_find_pairs_at_the_threshold(spark):
+    """1,200 pairs with similarities from 0.75 to 0.80, 200 just below; shared passages of 20 words link none of them."""
+    r = np.random.default_rng(6)
+    rows, linked = [], []
+    for pair in range(1400):
+        shingles = int(r.choice([49, 98, 140, 196]))
+        other = int(r.integers(-(-shingles // 9), shingles // 7 + 1)) if pair < 1200 else shingles // 7 + 1
+        words = [f"p{pair}w{k}" for k in range(shingles + 4)]
+        text = [words, words[: len(words) - other] + [f"q{pair}w{k}" for k in range(other)]]
+        shared, union = shingles - other, shingles + other
+        assert (100 * shared >= 75 * union) == (pair < 1200) and (pair >= 1200 or 100 * shared <= 80 * union)
+        rows += [(2 * pair + k, " ".join(x)) for k, x in enumerate(text)]
+        linked.append(pair < 1200)
+    passage = " ".join(f"common{k}" for k in range(20))
+    rows += [(10_000 + k, passage + " " + " ".join(f"o{k}w{x}" for x in range(30))) for k in range(200)]
+    found = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [p for p, own in enumerate(linked) if own and found[2 * p + 1] != 2 * p]
+    assert not missed, f"{len(missed)} of {sum(linked)} pairs missed"
+    assert all(found[i] == i for i, _ in rows if i % 2 == 0 or i >= 2400)
+
+
 def test_packing_covers_each_id_once(spark, docs):
     own = Tokenizer.from_file(BYTES)
     pieces, sequences = defaultdict(list), defaultdict(list)
