@@ -1,6 +1,6 @@
 """The queries by name, each with the SQL that it must equal where SQL can express it.
 
-Batch searches take as queries every vector whose id is divisible by 20. K neighbours are asked for; M parts are used for
+Batch searches take as queries every vector whose id is divisible by 20, neighbour graphs all. K neighbours are asked for; M parts are used for
 product quantization; graphs have SHARDS shards. Queries that need a codebook without training take the first 256 vectors
 as centroids, so that SQL can follow.
 """
@@ -44,12 +44,11 @@ def seed_codebook(v: DataFrame) -> DataFrame:
 
 
 def near_graph(v: DataFrame) -> DataFrame:
-    """A graph without chance: each queried vector links to its K nearest others, each other vector to its two neighbours by id."""
-    n = knn.knn(v, asked(v), K + 1)
+    """The exact neighbour graph: each vector links to those of its K + 1 nearest that it isn't itself. Written once, as
+    its readers take it several times."""
+    n = knn.knn(v, v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), K + 1)
     linked = n.where("qid <> vec_id").groupBy(F.col("qid").alias("node_id")).agg(F.array_sort(F.collect_list("vec_id")).alias("neighbors"))
-    last = v.agg(F.max("vec_id").alias("last"))
-    plain = v.where("vec_id % 20 <> 0").crossJoin(F.broadcast(last)).select(F.col("vec_id").alias("node_id"), F.array((F.col("vec_id") * 7) % (F.col("last") + 1), (F.col("vec_id") * 13) % (F.col("last") + 1)).alias("neighbors"))
-    return linked.unionByName(plain).select(F.lit(0).alias("shard"), "node_id", F.lit(0).alias("layer"), "neighbors")
+    return saved(linked.select(F.lit(0).alias("shard"), "node_id", F.lit(0).alias("layer"), "neighbors"), "neighbours")
 
 
 def _pairs(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -303,8 +302,8 @@ _SCORED = "scored AS (SELECT qid, vec_id, list_sum(list(dist ORDER BY each.sub))
 _CODED = ", ".join((_V, _BOOK, _EACH, _CODES))
 _ALL = f"WITH {_V}, {_Q}, {_BOOK}, {_EACH}, {_CODES}, {_ADC}, {_SCORED}"
 _TOP = lambda k: f"SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank, vec_id, distance FROM scored) WHERE rank <= {k}"
-_GRAPH = f"""WITH {_V}, {_Q}, n AS ({_sql_knn(K + 1)}), g AS (SELECT qid AS node_id, list(vec_id ORDER BY vec_id) AS neighbors FROM n WHERE qid <> vec_id GROUP BY qid
-    UNION ALL SELECT vec_id, [(vec_id * 7) % (SELECT max(vec_id) + 1 FROM v), (vec_id * 13) % (SELECT max(vec_id) + 1 FROM v)] FROM v WHERE vec_id % 20 <> 0),
+_GRAPH = f"""WITH {_V}, q AS (SELECT vec_id AS qid, e AS q FROM v), n AS ({_sql_knn(K + 1)}),
+    g AS (SELECT qid AS node_id, list(vec_id ORDER BY vec_id) AS neighbors FROM n WHERE qid <> vec_id GROUP BY qid),
     t AS (SELECT unnest(neighbors) AS node_id FROM g), o AS (SELECT node_id FROM g WHERE node_id <> 0 AND node_id NOT IN (SELECT node_id FROM t))"""
 _LOG = "n AS (SELECT count(*) AS n FROM embeddings), log AS (SELECT vec_id AS lsn, vec_id FROM embeddings UNION ALL SELECT vec_id + n, vec_id FROM embeddings, n WHERE vec_id % 3 = 0)"
 

@@ -4,7 +4,7 @@ import pytest
 from sparkvec.db import NO_ID, VectorDb
 from sparkvec.errors import Corrupt, DimensionMismatch, IdOutOfRange, InvalidArgument
 from sparkvec.functions import distance
-from sparkvec.operators import hnsw, knn, pq
+from sparkvec.operators import evaluate, hnsw, knn, pq
 from sparkvec.sources.store import VectorStore
 from sparkvec.sources.vecs import read_vecs
 from sparkvec.streaming.ingest import gaps, ingest
@@ -249,3 +249,22 @@ def test_vectors_by_id_and_sift_files(spark, tmp_path):
     (tmp_path / "sift_groundtruth.ivecs").write_bytes(rec("<i4", 1, 0))
     base, queries, truth = load_sift(spark, str(tmp_path))
     assert knn.recall(knn.knn(base, queries, 2), truth, 2).first()[0] == 1.0 and load_sift(spark, str(tmp_path), 1)[0].count() == 1
+
+
+def test_measures_of_a_search(spark, tmp_path):
+    times = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "ms double")
+    assert evaluate.percentiles(times).first().asDict() == {"p50_ms": 2.5, "p99_ms": pytest.approx(float(np.percentile([1, 2, 3, 4], 99)))}
+    assert evaluate.percentiles(times.limit(0)).first()["p50_ms"] is None
+    r = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(120)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 4").selectExpr("vec_id qid", "embedding q")
+    truth = knn.knn(v, q, 10)
+    found = evaluate.measure(lambda own, ef: knn.knn(v, own, min(ef, 10)), q, truth, 10, "exact", 1.5, (5, 64), 2)
+    rows = {x["ef_search"]: x for x in found.collect()}
+    assert rows[64]["recall@10"] == 1.0 and rows[5]["recall@10"] == 0.5
+    assert all(x["p99_ms"] >= x["p50_ms"] > 0 and x["qps"] > 0 for x in rows.values())
+    evaluate.write_csv(found, str(tmp_path / "csv"))
+    lines = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
+    assert lines[0] == "engine,ef_search,recall@10,p50_ms,p99_ms,qps,build_or_train_s" and [x.split(",")[1] for x in lines[1:]] == ["5", "64"]
+    with pytest.raises(InvalidArgument):
+        evaluate.measure(lambda own, ef: own, q, truth, 10, "exact", 0, (5,), 0)
