@@ -33,6 +33,8 @@ from sparkvec.llm.encoding import encoded
 
 #: Ids that the rolling hash sees, and the least, mean (a power of two) and most ids of a chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
+#: Bytes of text that are encoded at once: the more, the fewer words are met again in another batch.
+BATCH = 8 << 20
 
 _CHUNK = pa.struct([("address", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary())])
 _DDL = "doc_id long, uid long, n_tokens long, addresses array<binary>, begins array<long>, sizes array<int>, new array<struct<address: binary, n_ids: int, width: int, payload: binary>>"
@@ -92,7 +94,7 @@ def _lists(counts: list[int], values: pa.Array) -> pa.Array:
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # chunks already sent by this task; begun anew when large
-        for batch, ids, offsets in encoded(batches, path, end_id):
+        for batch, ids, offsets in encoded(batches, path, end_id, most=BATCH):
             places, bounds = candidates(ids), offsets.tolist()
             cuts = [cut_points(a, b, places) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             counts = list(map(len, cuts))

@@ -136,10 +136,11 @@ def encoder(path: str) -> ByteEncoder:
     return _ENCODERS[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """For each small batch: the batch, the ids of its texts with end_id after each, and where each text's ids begin."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text", most: int = BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For each batch of at most about most bytes of text: the batch, the ids of its texts with end_id after each, and where
+    each text's ids begin."""
     own = encoder(path)
-    for batch in released(small_batches(batches, text, BYTES)):
+    for batch in released(small_batches(batches, text, most)):
         if batch.num_rows:
             ids, offsets = own.encode(batch.column(text))
             yield batch, np.insert(ids, offsets[1:], end_id).astype("<u4"), offsets + np.arange(len(offsets))
