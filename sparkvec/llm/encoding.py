@@ -9,6 +9,8 @@ pattern, go to the library whole.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import os
 from array import array
@@ -70,6 +72,18 @@ def segment_ends(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles inside: very many small objects are made there, and none of them refers to another in a cycle."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class ByteEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models
@@ -112,7 +126,8 @@ class ByteEncoder:
         at = segment_ends(np.frombuffer(data, np.uint8), bounds)
         segments = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
         index = segments.indices.to_numpy(zero_copy_only=False)
-        found = self.known.get(strings(segments.dictionary))
+        with uncollected():
+            found = self.known.get(strings(segments.dictionary))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = gather(index, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(found), "<u4"))
         offsets = np.concatenate([[0], np.cumsum(sizes[index])])[np.searchsorted(at, bounds)]
