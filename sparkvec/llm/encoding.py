@@ -21,12 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from sparkvec.llm.common import small_batches
-from sparkvec.llm.words import PieceCache, byte_symbols, gather, large, released, strings
+from sparkvec.llm.words import IdTable, byte_symbols, large, release, released, strings
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 #: Bytes of text that are encoded at once.
 BYTES = 4 << 20
+#: Words that are kept with their ids, and words whose tokens exist as objects at once.
+KEPT, TOKENIZED = 800_000, 8192
 #: Kinds of bytes: letters of ASCII, first bytes of two-byte Latin letters, white space, and all others.
 _LETTER, _LEAD, _WHITE = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)
@@ -102,19 +104,26 @@ class ByteEncoder:
         self.cuts = plain and spec["normalizer"] is None and all(found.get(k) == v for k, v in _PATTERN.items())
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.symbols = dict(enumerate(byte_symbols()))
-        self.known = PieceCache(self._made, 200_000)
-
-    def _made(self, pieces: list[str]) -> list[bytes]:
-        """Ids of segments. A segment of letters is one match, so it goes to the library's model without a search for more."""
-        plain = np.asarray(pc.match_substring_regex(pa.array(pieces, pa.large_string()), _PLAIN)).tolist()
-        space, symbols = self.symbols[32], self.symbols
-        words = [p.replace(" ", space) if p.isascii() else p.encode().decode("latin-1").translate(symbols) for p, own in zip(pieces, plain, strict=True) if own]
-        tokens = list(map(self.model.tokenize, words))
-        ends = np.cumsum([0, *map(len, tokens)]) * 4
-        raw = array("I", [t.id for x in tokens for t in x]).tobytes()
-        letters = map(raw.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))
-        others = iter(self.tokenizer.encode_batch_fast([p for p, own in zip(pieces, plain, strict=True) if not own], add_special_tokens=False))
-        return [next(letters) if own else array("I", next(others).ids).tobytes() for own in plain]
+        self.known = IdTable(self._made, KEPT)
+
+    def _made(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """An order of segments and their ids in it. A segment of letters is one match, so it goes to the library's model
+        without a search for more; those come first."""
+        plain = np.asarray(pc.match_substring_regex(pieces, _PLAIN))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        names, n, space, symbols = pieces.take(pa.array(order)), int(plain.sum()), self.symbols[32], self.symbols
+        ids, sizes = array("I"), array("q")
+        for at in range(0, n, TOKENIZED):
+            words = [p.replace(" ", space) if p.isascii() else p.encode().decode("latin-1").translate(symbols) for p in strings(names.slice(at, min(TOKENIZED, n - at)))]
+            tokens = list(map(self.model.tokenize, words))
+            sizes.extend(map(len, tokens))
+            ids.extend([t.id for x in tokens for t in x])
+        for e in self.tokenizer.encode_batch_fast(strings(names.slice(n)), add_special_tokens=False):
+            own = e.ids
+            sizes.append(len(own))
+            ids.extend(own)
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]) * 4
+        return order, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined as unsigned 32-bit integers, where each text's ids begin with the end at last)."""
@@ -127,10 +136,10 @@ class ByteEncoder:
         segments = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
         index = segments.indices.to_numpy(zero_copy_only=False)
         with uncollected():
-            found = self.known.get(strings(segments.dictionary))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = gather(index, np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(found), "<u4"))
-        offsets = np.concatenate([[0], np.cumsum(sizes[index])])[np.searchsorted(at, bounds)]
+            place, table = self.known.get(segments.dictionary)
+        found = table.take(pa.array(place[index]))
+        ids = np.frombuffer(found.buffers()[2], "<u4")
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[np.searchsorted(at, bounds)] // 4
         odd = np.zeros(len(texts), np.bool_)
         for token in self.added:
             odd |= np.asarray(pc.fill_null(pc.match_substring(texts, token), False))
@@ -148,13 +157,15 @@ def encoder(path: str) -> ByteEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = ByteEncoder(path)
+        release()
     return _ENCODERS[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text", most: int = BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text", most: int = BYTES, kept: int = KEPT) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each batch of at most about most bytes of text: the batch, the ids of its texts with end_id after each, and where
     each text's ids begin."""
     own = encoder(path)
+    own.known.limit = kept
     for batch in released(small_batches(batches, text, most)):
         if batch.num_rows:
             ids, offsets = own.encode(batch.column(text))

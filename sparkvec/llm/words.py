@@ -33,12 +33,34 @@ def split_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds - bounds[0], coded.dictionary
 
 
-def gather(index: np.ndarray, begins: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """values[begins[i] : begins[i] + sizes[i]] for each i of index, joined."""
-    n = sizes[index]
-    ends = np.cumsum(n)
-    shift = begins[index] - (ends - n)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, n)]
+class IdTable:
+    """Ids of words, made once. At most limit words are kept, none longer than LONG bytes; when more come, those of the last
+    call take their place. Words and ids lie in two arrays, of about 40 bytes a word in all."""
+
+    LONG = 48
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, pa.Array]], limit: int):
+        self.make, self.limit = make, limit
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def get(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(where each word's ids are in the array, ids as bytes). make() gives an order of new words and their ids in it."""
+        found = pc.index_in(words, value_set=self.words)
+        place, n = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64), len(self.words)
+        if not found.null_count:
+            return place, self.ids
+        missing = np.flatnonzero(np.asarray(pc.is_null(found)))
+        fresh = words.take(pa.array(missing))
+        order, made = self.make(fresh)
+        place[missing[order]] = np.arange(n, n + len(missing))
+        fresh, ids = fresh.take(pa.array(order)), pa.concat_arrays([self.ids, made])
+        if n + len(missing) > self.limit:
+            own = np.flatnonzero(np.asarray(pc.less_equal(pc.binary_length(words), self.LONG)))[: self.limit]
+            self.words, self.ids = words.take(pa.array(own)), ids.take(pa.array(place[own]))
+        else:
+            short = pc.less_equal(pc.binary_length(fresh), self.LONG)
+            self.words, self.ids = pa.concat_arrays([self.words, fresh.filter(short)]), pa.concat_arrays([self.ids, made.filter(short)])
+        return place, ids
 
 
 class PieceCache:
@@ -71,10 +93,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
 
 
+def release() -> None:
+    """Gives back memory that Arrow and the C library hold for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(batches: Iterator) -> Iterator:
     """The same batches; at the end of a task, memory that Arrow and the C library hold for later goes back, as a worker
     lives on beside those of other stages."""
     yield from batches
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    release()

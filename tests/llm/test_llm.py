@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from sparkvec.llm import automaton, content_store, exact_dedup, fingerprints, near_dedup, packing, quality_mil, registry, secret_scan, toxicity, warc
 from sparkvec.llm.crc import crc_shift
-from sparkvec.llm.encoding import encoder
+from sparkvec.llm.encoding import ByteEncoder, encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, uid long"
@@ -43,6 +43,21 @@ def test_word_by_word_encoding_equals_the_library():
         assert ids[a:b].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_kept_words_are_few_bytes_and_give_way_to_others():
+    r = np.random.default_rng(2)
+    made = ["".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(4000)]
+    own = ByteEncoder(BYTES)
+    own.known.limit = 3000
+    for at in range(0, 4000, 800):
+        words = [*made[at : at + 800], *made[:50], "x" * 60]
+        ids, offsets = own.encode(pa.array([f"{w}, {w}'s é{w}" for w in words]))
+        for w, a, b in zip(words, offsets[:-1], offsets[1:], strict=True):
+            assert ids[a:b].tolist() == own.tokenizer.encode(f"{w}, {w}'s é{w}", add_special_tokens=False).ids
+        kept = own.known.words
+        assert len(kept) == len(own.known.ids) == len(set(kept.to_pylist())) <= 3000 and max(map(len, kept.to_pylist())) <= 48
+        assert kept.nbytes + own.known.ids.nbytes <= 60 * len(kept)
+
+
 def test_checksums_combine():
     a, b = b"some bytes", b"and others" * 9
     assert int(crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
