@@ -23,6 +23,9 @@ from sparkvec.llm.encoding import encoded
 WINDOW = 1024
 #: Remainders that one bucket holds on average at most.
 BUCKET_ROWS = 200_000
+#: Bytes of text that are encoded at once, and words kept: few, as in the pipeline the JVM's heap has grown to its bound
+#: before packing begins.
+BATCH, KEPT = 2 << 20, 200_000
 
 _PIECES = "doc_id long, uid long, start long, length long, ids_crc32 long, doc_tokens long, full long"
 
@@ -77,7 +80,7 @@ class BestFit:
 def _cut(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 33, 0
-        for batch, ids, offsets in encoded(batches, path, end_id):
+        for batch, ids, offsets in encoded(batches, path, end_id, most=BATCH, kept=KEPT):
             rows: list[tuple] = []
             for doc_id, uid, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 n = int(b - a)

@@ -58,6 +58,17 @@ def test_kept_words_are_few_bytes_and_give_way_to_others():
         assert kept.nbytes + own.known.ids.nbytes <= 60 * len(kept)
 
 
+def test_packing_encodes_little_at_once(monkeypatch):
+    from types import SimpleNamespace
+
+    seen = []
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr("sparkvec.llm.encoding.ByteEncoder.encode", lambda self, texts: seen.append(sum(map(len, texts.to_pylist()))) or (np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(["a" * (1 << 20)] * 8)], ["doc_id", "uid", "text"])
+    assert sum(b.num_rows for b in packing._cut(BYTES, 0, 1024)(iter([batch]))) == 8
+    assert sum(seen) == 8 << 20 and max(seen) <= 2 << 20
+
+
 def test_checksums_combine():
     a, b = b"some bytes", b"and others" * 9
     assert int(crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
