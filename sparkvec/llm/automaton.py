@@ -32,6 +32,9 @@ from sparkvec.llm.words import PieceCache, byte_symbols, released, split_batch,
 
 _MACHINES: dict[str, WordAutomaton] = {}
 
+#: Words, and pieces between spaces, that a worker keeps with their ids: about 300 bytes each.
+WORDS, PIECES = 500_000, 400_000
+
 
 class WordAutomaton:
     def __init__(self, path: str):
@@ -55,7 +58,7 @@ class WordAutomaton:
         self.special = regex.compile("(" + ("|".join(map(regex.escape, self.added)) or r"\b\B") + ")")
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.words: dict[str, tuple[int, str, str]] = {}
-        self.pieces = PieceCache(lambda ps: [self._piece(p) for p in ps], 150_000)
+        self.pieces = PieceCache(lambda ps: [self._piece(p) for p in ps], PIECES)
 
     def _compile(self, size: int, merges: list[tuple[int, int, int]]) -> None:
         """Applies the gadget of each merge in turn; then number[t] is t's number, and t's arcs lead to the row of bounds
@@ -195,7 +198,7 @@ class WordAutomaton:
         known, out = self.words, []
         for word in self.split.findall(self._plain(piece)):
             if (own := known.get(word)) is None:
-                if len(known) > 200_000:
+                if len(known) >= WORDS:
                     known.clear()
                 own = known[word] = self._shown(self.encode_word(word))
             out.append(own)

@@ -69,6 +69,16 @@ def test_packing_encodes_little_at_once(monkeypatch):
     assert sum(seen) == 8 << 20 and max(seen) <= 2 << 20
 
 
+def test_automaton_reads_each_of_many_words_once():
+    own, calls = automaton.WordAutomaton(WORDS), []
+    own.encode_word = lambda word: calls.append(word) or [1]
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 210_000)]
+    for _ in range(2):
+        for at in range(0, len(words), 30_000):
+            own.pieces.get(words[at : at + 30_000])
+    assert len(calls) == 210_000
+
+
 def test_checksums_combine():
     a, b = b"some bytes", b"and others" * 9
     assert int(crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
