@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkvec.llm.common import removed, shared_folder, ship_code, table, text_or_empty
+from sparkvec.llm.common import removed, shared_folder, ship_code, shuffles_dropped, table, text_or_empty
 from sparkvec.llm.crc import crc_shift
 from sparkvec.llm.encoding import encoded
 
@@ -35,9 +35,12 @@ from sparkvec.llm.encoding import encoded
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 #: Bytes of text that are encoded at once: the more, the fewer words are met again in another batch.
 BATCH = 8 << 20
+#: Parts by address in which chunks are shuffled, one after another, so that the disk holds a part's shuffle files at once.
+SLICES = 4
 
 _CHUNK = pa.struct([("address", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary())])
-_DDL = "doc_id long, uid long, n_tokens long, addresses array<binary>, begins array<long>, sizes array<int>, new array<struct<address: binary, n_ids: int, width: int, payload: binary>>"
+_NEW = [f"new{s}" for s in range(SLICES)]  # a column for each part, so that a part is read alone
+_DDL = "doc_id long, uid long, n_tokens long, addresses array<binary>, begins array<long>, sizes array<int>, " + ", ".join(f"{c} array<struct<address: binary, n_ids: int, width: int, payload: binary>>" for c in _NEW)
 
 
 def id_hashes(ids: np.ndarray) -> np.ndarray:
@@ -102,20 +105,22 @@ def _chunked(path: str, end_id: int):
             starts = np.concatenate([[0], ends[:-1]])  # an id ends each text, so the streams' chunks follow each other
             wide = np.maximum.reduceat(ids, starts) >= 65536
             raw = {2: ids.astype("<u2").tobytes(), 4: ids.tobytes() if wide.any() else b""}
-            keys, fresh = [], []
+            keys, fresh = [], [[] for _ in _NEW]
             for k, (a, b, w) in enumerate(zip(starts.tolist(), ends.tolist(), np.where(wide, 4, 2).tolist(), strict=True)):
                 payload = raw[w][w * a : w * b]
                 key = address(w, payload)
                 keys.append(key)
                 if key not in seen:
                     seen.add(key)
-                    fresh.append((k, w, payload))
+                    fresh[key[0] % SLICES].append((k, w, payload))
             of = np.repeat(np.arange(len(counts)), counts)
-            news = [k for k, _, _ in fresh]
-            columns = [pa.array([keys[k] for k in news], pa.binary()), pa.array((ends - starts)[news], pa.int32()), pa.array([w for _, w, _ in fresh], pa.int32()), pa.array([p for _, _, p in fresh], pa.binary())]
-            new = _lists(np.bincount(of[news], minlength=len(counts)).tolist(), pa.StructArray.from_arrays(columns, fields=list(_CHUNK)))
+            new = []
+            for own in fresh:
+                news = np.array([k for k, _, _ in own], np.int64)
+                columns = [pa.array([keys[k] for k in news], pa.binary()), pa.array((ends - starts)[news], pa.int32()), pa.array([w for _, w, _ in own], pa.int32()), pa.array([p for _, _, p in own], pa.binary())]
+                new.append(_lists(np.bincount(of[news], minlength=len(counts)).tolist(), pa.StructArray.from_arrays(columns, fields=list(_CHUNK))))
             lists = [_lists(counts, pa.array(x)) for x in (pa.array(keys, pa.binary()), starts - offsets[:-1][of], pa.array(ends - starts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(np.diff(offsets)), *lists, new], ["doc_id", "uid", "n_tokens", "addresses", "begins", "sizes", "new"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(np.diff(offsets)), *lists, *new], ["doc_id", "uid", "n_tokens", "addresses", "begins", "sizes", *_NEW])
             if len(seen) > 200_000:
                 seen.clear()
 
@@ -132,13 +137,16 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_or_empty().alias("text"))
     own.mapInArrow(_chunked(path, end_id), _DDL).write.option("compression", "zstd").parquet(f"{folder}/staged")
     staged = spark.read.schema(_DDL).parquet(f"{folder}/staged")
-    # Each task sends a chunk once, so a sort before the shuffle would find next to nothing.
-    chunks = staged.select(F.explode("new").alias("c")).select("c.*").repartition("address").dropDuplicates(["address"])
-    chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    with shuffles_dropped(spark):
+        for new in _NEW:
+            # Each task sends a chunk once, so a sort before the shuffle would find next to nothing.
+            chunks = staged.select(F.explode(new).alias("c")).select("c.*").repartition("address").dropDuplicates(["address"])
+            chunks.write.mode("error" if new == _NEW[0] else "append").option("compression", "zstd").parquet(f"{folder}/chunks")
     recipes = staged.select("doc_id", "uid", "n_tokens", "addresses", "begins", "sizes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
-    ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
+    with shuffles_dropped(spark):
+        ranged.write.option("compression", "zstd").parquet(f"{folder}/ranged")
     ranged = spark.read.schema(ranged.schema).parquet(f"{folder}/ranged")
     removed(spark, f"{folder}/staged")
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))

@@ -3,10 +3,12 @@ import hashlib
 import itertools
 import json
 import re
+import time
 import unicodedata
 import uuid
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +104,41 @@ def test_store_gives_back_every_id_and_finds_damage(spark, docs, tmp_path):
         content_store.read_back(spark, str(tmp_path / "s")).collect()
 
 
+def test_store_shuffles_chunks_in_slices_and_keeps_no_shuffle_files(spark, tmp_path, monkeypatch):
+    folder, key, held = tmp_path / "s", "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    letters = np.random.default_rng(3).integers(97, 123, (64, 20_000), np.uint8)
+    tops = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p: p.stat().st_size for d in tops for p in d.rglob("shuffle_*.data")}
+    first, removed, chunked, sizes = set(files()), content_store.removed, content_store._chunked, []
+
+    def spy(session, *paths):
+        wait = time.time() + 10  # Spark drops the files a little later
+        while (own := sum(n for p, n in files().items() if p not in first)) and time.time() < wait:
+            time.sleep(0.1)
+        held.append(own)
+        removed(session, *paths)
+
+    monkeypatch.setattr(content_store, "removed", spy)
+    before = spark.conf.get(key, None)
+    content_store.write_store(spark.createDataFrame([(i, x.tobytes().decode()) for i, x in enumerate(letters)], "doc_id long, text string"), BYTES, str(folder), 2)
+    assert len(held) == 2 and held[0] == 0 and spark.conf.get(key, None) == before
+    rows = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(range(64)), pa.array([x.tobytes().decode() for x in letters])], ["doc_id", "uid", "text"])
+    seen = set()
+    for batch in chunked(BYTES, 2)(iter([rows])):
+        for name in [c for c in batch.schema.names if c.startswith("new")]:
+            found = [c for row in batch.column(name).to_pylist() for c in row]
+            sizes.append(sum(len(c["payload"]) for c in found))
+            seen |= {(c["address"], c["n_ids"], c["width"], c["payload"]) for c in found}
+    assert max(sizes) < 0.4 * sum(sizes)
+    assert seen == {(bytes(r[0]), r[1], r[2], bytes(r[3])) for r in spark.read.parquet(str(folder / "chunks")).collect()}
+    assert content_store.read_back(spark, str(folder)).count() == 64
+
+
+def test_store_of_no_rows(spark, tmp_path):
+    content_store.write_store(spark.createDataFrame([], "doc_id long, text string"), BYTES, str(tmp_path / "s"), 2)
+    assert content_store.read_back(spark, str(tmp_path / "s")).collect() == content_store.read_ids(spark, str(tmp_path / "s")).collect() == []
+
+
 def test_store_finds_changed_recipes_and_lost_chunks(spark, docs, tmp_path):
     folder = tmp_path / "s"
     content_store.write_store(docs, BYTES, str(folder), 2)
